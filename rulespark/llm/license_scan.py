@@ -64,7 +64,7 @@ def _postings(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def licence_words(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(k1, k2, place, word) for every licence word of every text; places count from the same word within a text."""
-    words = docs.select(id_key().alias("k1"), F.xxhash64(text_of(docs)).alias("k2"), F.posexplode(F.split(text_of(docs), NON_ALNUM)).alias("place", "raw"))
+    words = docs.select(id_key().alias("k1"), F.xxhash64(text_of(docs)).alias("k2"), F.posexplode_outer(F.split(text_of(docs), NON_ALNUM)).alias("place", "raw"))
     words = words.filter("octet_length(raw) < 20").withColumn("word", F.when(F.length("raw") == F.octet_length("raw"), F.lower("raw")))
     return words.join(F.broadcast(vocabulary), "word").select("k1", "k2", "place", "word")
 
