@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, id_key, read, text_of
+from .common import SPACE, SPACE_CHARS, id_key, read, stored, text_of
 
 MIN_WORDS = 50
 
@@ -80,7 +80,7 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2, gone): the places of the lines that are later copies, for documents that have any."""
-    found = runs(docs, min_words)
+    found = stored(runs(docs, min_words), "line-runs")
     name = ["lines", "name1", "name2"]
     first = found.groupBy(*name).agg(F.min("k1").alias("first"), F.max("k1").alias("last"), F.max("again").alias("twice")).filter("first < last or twice")
     late = found.join(first, name).filter((F.col("k1") > F.col("first")) | F.col("again"))
