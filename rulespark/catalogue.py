@@ -1,4 +1,6 @@
 """Registry of the engine's own queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from rulespark import catalogue_events
+
+QUERIES: dict = dict(catalogue_events.QUERIES)
+ORACLES: dict = dict(catalogue_events.ORACLES)

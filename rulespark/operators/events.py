@@ -135,7 +135,7 @@ class Compiler:
             if node[2][0] != "list":
                 raise RuleError("`in` needs a reference list")
             name = node[2][1]
-            found = F.coalesce(F.col(f"in__{name}__{self.key(node[1])}"), F.lit(False))
+            found = F.coalesce(F.col(f"in__{name.replace('.', '_')}__{self.key(node[1])}"), F.lit(False))
             return ~found if node[3] else found
         if kind == "bin":
             op, a, b = node[1], self.value(node[2], get), self.value(node[3], get)
@@ -169,7 +169,7 @@ class Compiler:
                 df = df.withColumn("_in", self.value(node[1], get).cast("string")).join(values, F.col("_in") == values["_value"], "left_anti" if node[3] else "left_semi").drop("_in")
                 continue
             for n in walk(node):
-                if n[0] == "in" and (mark := f"in__{n[2][1]}__{self.key(n[1])}") not in df.columns:
+                if n[0] == "in" and (mark := f"in__{n[2][1].replace('.', '_')}__{self.key(n[1])}") not in df.columns:
                     values = self.list_values(n[2][1]).withColumn(mark, F.lit(True)).withColumnRenamed("_value", mark + "_v")
                     df = df.join(values, self.value(n[1], get).cast("string") == F.col(mark + "_v"), "left").drop(mark + "_v")
             rest.append(node)
