@@ -32,6 +32,8 @@ SIZE, PERCENT = 5, 80
 PARITY_WORDS = 16
 #: Block values for one task of the join, and class ids that may be broadcast (8 bytes each).
 BLOCKS_PER_TASK, BROADCAST_IDS = 1_500_000, 500_000
+#: Word hashes kept by a Python worker.
+HASHES = 400_000
 NO_ID = 9223372036854775807
 
 
@@ -46,22 +48,37 @@ def _mix(x):
     return x ^ (x >> np.uint64(32))
 
 
+class Hashes(dict):
+    """64-bit hashes of words; frequent words are looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > HASHES:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+
+WORDS = Hashes()
+
+
 def shingles(text: str | None, size: int):
     """Sorted distinct hashes of the shingles of a text."""
     import numpy as np
-    import xxhash
 
-    hashed = xxhash.xxh64_intdigest
     words = (text or "").encode("utf-8", "replace").translate(LOWER_BYTES).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashed, words), np.uint64, len(words))
+    h = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
     n = min(size, len(words))
     total = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
         total = (total + h[k : len(h) - n + 1 + k]) * np.uint64(0xC2B2AE3D27D4EB4F)
         total ^= total >> np.uint64(33)
-    return np.unique(_mix(total + np.uint64(n)))
+    total = _mix(total + np.uint64(n))
+    total.sort()
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 def class_of(s) -> int:
@@ -113,7 +130,7 @@ class Bands:
             if not m:
                 continue
             block = (_mix(s + np.uint64(band * 2 + 1)) % np.uint64(m)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
+            order = np.argsort(block.astype(np.uint16) if m < 65536 else block, kind="stable")  # a radix sort for 16 bits
             block = block[order]
             first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             value, name = np.bitwise_xor.reduceat(s[order], first), block[first]
