@@ -139,3 +139,15 @@ def cidr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["ev_cidr_literal_table"] = cidr
 ORACLES["ev_cidr_literal_table"] = "select event_id, '10.' || (user_id % 256) || '.' || (event_id % 256) || '.7' as ip from events where user_id % 256 between 16 and 31"
+
+
+def sessions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespark.streaming.events import sessions
+
+    return sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "6 hours")
+
+
+QUERIES["st_session"] = sessions_query
+ORACLES["st_session"] = """with p as (select *, lag(ts) over (partition by user_id order by ts) as before from events),
+s as (select *, sum(case when before is null or ts >= before + interval 6 hour then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as k from p)
+select min(ts) as session_start, max(ts) + interval 6 hour as session_end, user_id, count(*) as n from s group by user_id, k"""
