@@ -106,9 +106,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their failing lines, in the columns they came in."""
-    done = measure(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("text"))).filter("kept")
-    values = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}
-    return done.select(*[values[c].alias(c) if c in values else F.col("_row")[c].alias(c) for c in docs.columns])
+    done = measure(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("text")))
+    # a generator rather than a filter: the optimiser would compute the verdict a second time, below the projection
+    done = done.select(F.explode_outer(F.array(F.when(F.col("kept"), F.struct("_row", "clean_text")))).alias("x")).filter("x is not null")
+    values = {"text": F.col("x.clean_text"), "n_chars": F.char_length("x.clean_text").cast("long")}
+    return done.select(*[values[c].alias(c) if c in values else F.col("x._row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
