@@ -57,12 +57,13 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     most = F.lit(min_words)  # each line has a word, so no shortest run has more lines
     lines = F.filter(F.transform(F.split(t, "\n", -1), lambda x: F.struct(x.alias("x"), F.btrim(x, F.lit(SPACE_CHARS)).alias("y"))), lambda s: s["y"] != "")
     rows = docs.select(id_key().alias("k1"), F.xxhash64(t).alias("k2"), F.transform(lines, lambda s: F.struct(F.xxhash64(s["x"]).alias("id"), F.size(F.split(s["y"], SPACE)).alias("n"))).alias("lines"))
-    rows = rows.filter(F.size("lines") > 0).select("k1", "k2", F.col("lines.id").alias("ids"), F.col("lines.n").alias("counts"))
-    spans = _let(F.col("counts"), lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.filter(F.array(
+    # no filter on sizes here: the optimiser would compute lines and spans once more for it
+    rows = rows.select("k1", "k2", F.col("lines.id").alias("ids"), F.col("lines.n").alias("counts"))
+    spans = _let(F.col("counts"), lambda c: F.array_distinct(F.flatten(F.transform(F.slice(F.sequence(F.lit(0), F.size(c)), F.lit(1), F.size(c)), lambda i: F.filter(F.array(
         F.struct(i.alias("s"), _shortest(F.slice(c, i + 1, most), min_words).alias("l")),
         _let(_shortest(F.reverse(F.slice(c, F.greatest(i + 2 - most, F.lit(1)), F.least(i + 1, most))), min_words), lambda n: F.struct((i + 1 - n).alias("s"), n.alias("l"))),
     ), lambda x: x["l"].isNotNull())))))
-    rows = rows.select("k1", "k2", "ids", spans.alias("spans")).filter(F.size("spans") > 0)
+    rows = rows.select("k1", "k2", "ids", spans.alias("spans"))
     rows = rows.withColumn("depth", F.floor(F.log2(F.array_max("spans.l"))).cast("int"))
     rows = rows.select("k1", "k2", "spans", _levels(F.col("ids"), F.col("depth")).alias("levels"))
 
@@ -75,7 +76,7 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = rows.select("k1", "k2", _let(F.col("runs"), lambda r: F.zip_with(r, F.concat(nothing, F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))), lambda x, y: F.struct(
         x.alias("run"), ((x["lines"] == y["lines"]) & (x["name1"] == y["name1"]) & (x["name2"] == y["name2"])).alias("again")))).alias("runs"))
     # the outer form: explode would have the optimiser compute the runs a second time, for a filter on their number
-    return rows.select("k1", "k2", F.explode_outer("runs").alias("r")).select("k1", "k2", "r.run.*", "r.again")
+    return rows.select("k1", "k2", F.explode_outer("runs").alias("r")).filter("r is not null").select("k1", "k2", "r.run.*", "r.again")
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
