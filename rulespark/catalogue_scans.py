@@ -73,7 +73,8 @@ add("m_sha256", 'condition: hash.sha256(0, filesize) startswith "00"', "starts_w
 add("m_string_to_int", 'condition: string.to_int("1234") == 1234 and string.length("abc") == 3 and math.to_number(true) == 1', "TEXT is not null")
 add("m_count", "condition: math.count(0x2e) > 60", "strlen(TEXT) - strlen(replace(TEXT, '.', '')) > 60")
 add("m_percentage", "condition: math.percentage(0x20) > 0.19", "(strlen(TEXT) - strlen(replace(TEXT, ' ', ''))) / strlen(TEXT) > 0.19")
-add("m_mode", "condition: math.mode() == 0x20", "TEXT is not null and strlen(TEXT) - strlen(replace(TEXT, ' ', '')) > 0 and list_max([strlen(TEXT) - strlen(replace(TEXT, chr(c), '')) for c in range(33, 128)]) < strlen(TEXT) - strlen(replace(TEXT, ' ', '')) and len(list_filter(range(160, 192), lambda c: length(TEXT) < 0)) = 0")
+PAIRS = "regexp_extract_all(hex(encode(TEXT)), '..')"
+add("m_mode", "condition: math.mode() == 0x20", f"list_max(map_values(list_histogram({PAIRS}))) = len(list_filter({PAIRS}, lambda x: x = '20'))")
 add("m_math_fn", "condition: math.max(filesize, 3000) == 3000 and math.min(filesize, 100) == 100 and math.abs(0 - 5) == 5 and math.in_range(filesize, 0, 3000) == 1", f"{bytes_} <= 3000 and {bytes_} >= 100")
 add("x_array_comp", "condition: [n * 2 for n in [1, 2, 3] if n > 1][1] == 6 and filesize > 1000", f"{bytes_} > 1000")
 add("x_dict_comp", 'condition: {n: n * n for n in [1, 2, 3]}[3] == 9 and {"a": 1, "b": 2}["b"] == 2 and filesize > 1000', f"{bytes_} > 1000")
@@ -108,9 +109,6 @@ ORACLES["sc_spans"] = """select * from (values
  (1, 'header', '', null, null, null), (5, 'header', '', null, null, null),
  (6, 'overlap', '', '$a', 0, '616261'), (6, 'overlap', '', '$a', 2, '616261'), (6, 'overlap', '', '$a', 4, '616261')) v(blob_id, rule, tags, sid, start, data)"""
 
-STATS = "math.entropy math.mean math.serial_correlation math.monte_carlo_pi".split()
-
-
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte statistics of every document."""
     from rulespark.functions import modules as M

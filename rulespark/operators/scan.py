@@ -310,7 +310,7 @@ class Compiler:
         if kind == "with":
             names: dict = {}
             for n, e in node[1]:
-                names[n] = self.bound(names, lambda e=e: self.value(e))
+                names[n] = self.bound(names, lambda e=e: self.value(self.local(e, names)))
             return self.bound(names, lambda: self.value(self.local(node[2], names)))
         if kind == "match":
             v, arms, out, k = self.column(node[1]), node[2], None, "unknown"
