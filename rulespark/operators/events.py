@@ -228,9 +228,11 @@ class Compiler:
                 return F.col(f"`{v}__${name}`")
         return None
 
-    def window(self, time: Column) -> Column:
+    def window(self, time: Column, df: DataFrame, name: str) -> Column:
         w = self.rule.window
-        return F.window(time.cast("timestamp"), w.text, f"{w.slide[0]} {w.slide[1]}" if w.slide else None)
+        if df.schema[name].dataType.typeName() != "timestamp":  # a cast would hide a stream's watermark
+            time = time.cast("timestamp")
+        return F.window(time, w.text, f"{w.slide[0]} {w.slide[1]}" if w.slide else None)
 
     def side_by_side(self) -> bool:
         keys = {n for n, _ in self.rule.match}
@@ -246,7 +248,7 @@ class Compiler:
                 df = self.source(name)
                 keys = [self.key_column(n, g, name).alias(n) for n, g in rule.match]
                 own = [F.col(f"`{c}`") for c in df.columns]
-                parts.append(df.select(*own, self.window(F.col(f"{name}__ts")).alias("_w"), *keys))
+                parts.append(df.select(*own, self.window(F.col(f"{name}__ts"), df, f"{name}__ts").alias("_w"), *keys))
             rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         else:
             rows = self.join_all()
@@ -261,7 +263,7 @@ class Compiler:
                     length = F.expr(f"interval {rule.window.text}")
                     w = F.struct(start.alias("start"), (start + length).alias("end")) if rule.window.anchor[0] == "after" else F.struct((start - length).alias("start"), start.alias("end"))
                 else:
-                    w = self.window(time)
+                    w = self.window(time, rows, f"{self.names[0]}__ts")
                 rows = rows.select("*", w.alias("_w"), *[k.alias(n) for (n, _), k in zip(rule.match, keys)])
         if rule.match:
             keys = ["_w", *(n for n, _ in rule.match)]
