@@ -117,3 +117,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
     return measure(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words")
+
+
+_WORD = r"[^ \t\n\x0B\f\r]+"
+_GONE = "(length(y) - length(regexp_replace(y, '{0}', '', 'g')))"
+_SYMBOLS, _MARKS = r"[#*$%&<>{}\\~^=_]", "[|»›•·]"
+_PHRASES = " or ".join(f"contains(y, '{p}') or contains(y, '{p.capitalize()}')" for p in BOILERPLATE)
+#: The same by words and lines as rows.
+ORACLE = f"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+l as (select doc_id, unnest(string_split(t, chr(10))) as x from d),
+m as (select doc_id, x, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as y, len(regexp_extract_all(x, '{_WORD}')) as n from l),
+f as (select *, n > 0 and (regexp_matches(y, '{_SYMBOLS}') and {_GONE.format(_SYMBOLS)} * 3 >= n or regexp_matches(y, '{_MARKS}.*{_MARKS}') and {_GONE.format(_MARKS)} * 4 >= n or n >= 4 and regexp_matches(y, '^[^\\p{{Ll}}]*\\p{{Lu}}[^\\p{{Ll}}]*$')
+  or n >= 30 and not regexp_matches(right(y, 4), '{ENDS.replace("'", "''")}') and {_GONE.format("[.,;:!?]")} * 40 < n or n <= {MAX_FURNITURE} and ({_PHRASES})) as fails from m),
+k as (select doc_id, coalesce(sum(n) filter (not fails), 0)::bigint as kept_words, count(*) filter (n > 0) - count(distinct x) filter (n > 0) as n_dup_lines from f group by doc_id),
+g as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as c from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+r as (select doc_id, count(distinct i + j) as n from g, range(3) s(j) where c > 1 group by doc_id),
+a as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, n_dup_lines, coalesce(r.n, 0) as n_repeat_words, kept_words from d join k on k.doc_id = d.doc_id left join r on r.doc_id = d.doc_id),
+b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from a)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and kept_words >= n_words * {MIN_KEPT} as kept, kept_words from b
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_quality_rules": quality_rules.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
