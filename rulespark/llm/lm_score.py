@@ -237,11 +237,26 @@ def train_round(texts: DataFrame, model: Model, seed: int) -> None:
         model.unpack(bytes(best["raw"]))
 
 
+def _frequent(vocabulary: DataFrame) -> DataFrame:
+    """At most COMMON words (more only if the top step alone has more): those above a step of frequency.
+
+    Without it every task of the sort would send its own COMMON words to the driver.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    words, low = 0, None
+    for row in vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # a few hundred steps
+        words += row["words"]
+        if low is not None and words > COMMON:
+            break
+        low = row["step"]
+    return vocabulary if low is None else vocabulary.filter(step >= low)
+
+
 def fit(training: DataFrame) -> tuple[Model, DataFrame, int, int]:
     """(model, vocabulary table, tokens, distinct words) of the training rows (doc_id, text)."""
     vocabulary = stored(count_words(training.select("text")), "vocabulary")
     size = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    common = [(bytes(r["word"]), r["n"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+    common = [(bytes(r["word"]), r["n"]) for r in _frequent(vocabulary).orderBy(F.desc("n"), "word").limit(COMMON).collect()]
     heads = [w for w, _ in common if w != END][: SYMBOLS - CLASSES - 1]
     small = training.sparkSession.createDataFrame([(END,), *((w,) for w in heads)], "word binary")
     sums = vocabulary.join(F.broadcast(small), "word", "left_anti").groupBy(class_column(F.col("word")).alias("class")).agg(F.sum(F.col("n") + 1).alias("n")).collect()
