@@ -32,7 +32,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Symbols (words, end, classes), vector length, words sent to the tasks.
 CLASSES, SYMBOLS, DIMENSIONS, COMMON = 256, 1024, 24, 100_000
 #: Training: tokens in a step, noise words, first rate; the folds of the first round.
-BATCH, NOISE, RATE, FIRST_ROUND = 4096, 32, 0.15, (0, 1)
+BATCH, NOISE, RATE, FIRST_ROUND = 1024, 32, 0.05, (0, 1)
 #: The end of a text in the vocabulary; no word is empty.
 END = b""
 #: Averages taken together, and words counted together, in a task.
