@@ -29,7 +29,7 @@ def add(name: str, body: str, sql: str, extra: str = "", source: tuple = ("docum
     ORACLES[name] = f"select {', '.join(keys)} from {table} where {sql.replace('TEXT', column)}"
 
 
-count = lambda word: f"len(list_filter(range(0, strlen(TEXT)), lambda i: substr(TEXT, i + 1, {len(word)}) = '{word}'))"
+count = lambda word: f"(strlen(TEXT) - strlen(replace(TEXT, '{word}', ''))) // {len(word)}"  # noqa: E731  for words that cannot overlap themselves
 has = lambda word: f"contains(TEXT, '{word}')"
 bytes_ = "strlen(TEXT)"
 
@@ -61,9 +61,9 @@ add("sc_pages_html", 'strings: $a = "<article>" $b = /<p>[A-Z]/ condition: all o
 add("sc_conversations", 'strings: $a = "the" fullword $b = "que" fullword condition: $a or #b > 3', "regexp_matches(TEXT, '(^|[^A-Za-z0-9])the($|[^A-Za-z0-9])') or len(regexp_extract_all(replace(TEXT, ' ', '  '), '(^|[^A-Za-z0-9])que($|[^A-Za-z0-9])')) > 3", source=("conversations", "text", ("conv_id", "turn")))
 add("sc_at_start", 'strings: $a = "The" condition: $a at 0', "starts_with(TEXT, 'The')")
 add("sc_first_offset", 'strings: $a = "tion" condition: @a[1] > 100', "contains(TEXT, 'tion') and strlen(substr(TEXT, 1, instr(TEXT, 'tion') - 1)) > 100")
-add("sc_in_range", 'strings: $a = "the" condition: $a in (0..40)', "len(list_filter(range(0, length(TEXT)), lambda i: substr(TEXT, i + 1, 3) = 'the' and strlen(substr(TEXT, 1, i)) <= 40)) > 0")
-add("sc_count_in_range", 'strings: $a = "the" condition: #a in (0..200) >= 5', "len(list_filter(range(0, length(TEXT)), lambda i: substr(TEXT, i + 1, 3) = 'the' and strlen(substr(TEXT, 1, i)) <= 200)) >= 5")
-add("sc_for_in_range", 'strings: $a = "the" condition: #a > 2 and for all i in (1..3) : (@a[i] < 60)', "len(list_filter(range(0, length(TEXT)), lambda i: substr(TEXT, i + 1, 3) = 'the' and strlen(substr(TEXT, 1, i)) < 60)) >= 3")
+add("sc_in_range", 'strings: $a = "the" condition: $a in (0..40)', "len(list_filter(range(0, least(length(TEXT), 41)), lambda i: substr(TEXT, i + 1, 3) = 'the' and strlen(substr(TEXT, 1, i)) <= 40)) > 0")
+add("sc_count_in_range", 'strings: $a = "the" condition: #a in (0..200) >= 5', "len(list_filter(range(0, least(length(TEXT), 201)), lambda i: substr(TEXT, i + 1, 3) = 'the' and strlen(substr(TEXT, 1, i)) <= 200)) >= 5")
+add("sc_for_in_range", 'strings: $a = "the" condition: #a > 2 and for all i in (1..3) : (@a[i] < 60)', "len(list_filter(range(0, least(length(TEXT), 60)), lambda i: substr(TEXT, i + 1, 3) = 'the' and strlen(substr(TEXT, 1, i)) < 60)) >= 3")
 add("sc_match_length", "strings: $a = /Version [0-9.]+/ condition: !a[1] == 11", "length(regexp_extract(TEXT, 'Version [0-9.]+')) = 11")
 add("sc_of_at", 'strings: $a = "The" $b = "And" $c = "Of" condition: any of them at 0', "starts_with(TEXT, 'The') or starts_with(TEXT, 'And') or starts_with(TEXT, 'Of')")
 add("sc_hex", "strings: $a = { 47 4E 55 [1-9] ( 50 | 4C ) 75 ?? 6C } condition: $a", "regexp_matches(TEXT, '(?s)GNU.{1,9}(P|L)u.l')")
