@@ -123,7 +123,9 @@ class Context:
 
     def offsets(self, p: Pattern) -> Column:
         """Starts of all matches: each is the end of the one before plus the gap in between."""
-        gaps = F.regexp_extract_all(self.latin, F.lit(f"(?s)(.*?)(?={regex_of(p)}){ANY_BYTE}"), F.lit(1))
+        # the rest of the text is a match too, or each of its places would be searched to the end; it is cut off
+        gaps = F.regexp_extract_all(self.latin, F.lit(f"(?s)(.*?)(?:(?={regex_of(p)}){ANY_BYTE}|\\z)"), F.lit(1))
+        gaps = F.slice(gaps, F.lit(1), self.count(p).cast("int"))
         return F.aggregate(gaps, F.array().cast("array<bigint>"), lambda a, g: F.array_append(a, F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1) + 1, F.lit(0).cast("long")) + F.length(g)))
 
     def lengths(self, p: Pattern) -> Column:
