@@ -269,3 +269,36 @@ def test_language_model(spark, odd, empty):
     assert none[2:] == (0, 0) and lm_score.score(empty, *none).count() == 0
 
 
+
+
+def test_html_site_text(spark):
+    """Without content elements, texts that all pages of a host share go, whatever their names."""
+    page = "<body><div class='x7'>We moved house.</div>{}<div class='story'><p>Story {} begins.</p><p>Same end.</p></div><div class='y'><p>Call us.</p><p>Write to us.</p></div></body>"
+    rows = [(k, f"http://plain.example/{k}", page.format("<div class='x8'>Sale on some pages.</div>" if k % 2 else "", k)) for k in range(12)]
+    rows += [(100 + k, "http://copies.example/", "<body><p>All the same.</p></body>") for k in range(5)] + [(200, "http://one.example/", page.format("", 200))]
+    got = {r["page_id"]: r["text"] for r in html_extract.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(12)} == {f"Story {k} begins.\n\nSame end." for k in range(12)}
+    assert {got[100 + k] for k in range(5)} == {"All the same."}
+    assert got[200] == "We moved house.\n\nStory 200 begins.\n\nSame end.\n\nCall us.\n\nWrite to us."
+
+
+def test_wrapper_slots():
+    assert [(x, r) for x, r, _ in html_extract.groups(list("abababc"))] == [("a", True), ("b", True), ("c", False)]
+    a, b = [["d", False, 5, False, 1], ["d", False, 5, False, None]], [["d", False, 1, True, 7]]
+    assert html_extract.align(a, b) == [["d", True, 5, False, 1], ["d", False, 6, True, None]]
+
+
+def test_common_subsequence(monkeypatch):
+    import random
+
+    draw = random.Random(1)
+    for k in range(400):
+        monkeypatch.setattr(html_extract, "MOST_BITS", (20, 1 << 28)[k % 2])
+        a, b = ([draw.choice("abcd") for _ in range(draw.randint(0, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        pairs = html_extract.common(a, b)
+        assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
