@@ -4,7 +4,7 @@ A page is a row of slots: its text by the block elements above it (named by elem
 and id, with long numbers as 0).  Equal slots in a row, or equal rows of two or three, become a repeated group.  Two rows
 of slots of a host are aligned, slots with equal text first; where they differ, a slot that one side has and the other
 lacks becomes optional, and differing texts leave the slot without a text of its own.  Wrappers are merged in the same
-way over salted groups of the host's distinct structures.
+way in a tree over salted groups of the host's distinct structures; none is cut.
 
 Text in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments of readers, named by
 their elements, classes and ids, goes.  If a page has text in an article or main element, that is its text.  Any other
@@ -49,8 +49,8 @@ DIGITS = re.compile(r"\b[0-9a-f]*\d[0-9a-f]{7,}\b|\d{3,}")
 MARKED = frozenset("div section table td ul ol dl".split())
 #: A slot whose text is the same on all its pages, so many at least, holds the site's text.
 MIN_PAGES = 3
-#: Salts of a first merge, and items of a wrapper at most.
-SALTS, MAX_ITEMS = 32, 4000
+#: Structures of a host that a task merges, on average.
+FAN_IN = 64
 #: Structures that a task holds, and bits of an alignment that are kept for its way back.
 HELD, MOST_BITS = 20_000, 1 << 28
 #: Fields of a wrapper's item.
@@ -178,7 +178,7 @@ def slots(found: list[list]) -> tuple[list[list], list[int | None]]:
 
 def groups(labels: list[str]) -> list[tuple[str, bool, list[int]]]:
     """(label, repeated, places): equal blocks in a row become one repeated group, shorter blocks first."""
-    out = [(x, False, [k]) for k, x in enumerate(labels[:MAX_ITEMS])]
+    out = [(x, False, [k]) for k, x in enumerate(labels)]
     for width in (1, 2, 3):
         done: list[tuple[str, bool, list[int]]] = []
         for x in out:
@@ -274,7 +274,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
             x, y = a[k], b[m]
             out.append([x[0], x[1] or y[1], x[2] + y[2], *([x[3] or y[3], x[4] if x[4] == y[4] else None] if len(x) > 3 else [])])
         i, j = k + 1, m + 1
-    return out[:MAX_ITEMS]
+    return out
 
 
 def host_column(url):
@@ -325,9 +325,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pa.table({"host": pa.array([key[0].as_py()]), "items": pa.array([rows], pa.list_(pa.struct(list(zip(ITEM, (pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()))))))})
 
     item = lambda x: F.struct(x["slots"].alias("item"), F.lit(False).alias("optional"), F.col("n").alias("pages"), x["repeated"].alias("repeated"), x["texts"].alias("text"))
-    first = counted.withColumn("texts", texts).select("host", F.transform(F.arrays_zip("slots", "repeated", "texts"), item).alias("items"), F.pmod(F.xxhash64("slots", "repeated"), F.lit(SALTS)).alias("salt"))
-    part = first.groupBy("host", "salt").applyInArrow(merge, kind)
-    return stored(part.groupBy("host").applyInArrow(merge, kind), "wrappers")
+    first = counted.withColumn("texts", texts).select("host", F.transform(F.arrays_zip("slots", "repeated", "texts"), item).alias("items"))
+    # a tree: in each round a host's rows fall by FAN_IN, until all are in one
+    rows = stored(first, "structures")
+    salts = None
+    while salts != 1:
+        most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+        salts = min(-(-most // FAN_IN), salts - 1 if salts else most)
+        rows = stored(rows.groupBy("host", F.pmod(F.xxhash64("items"), F.lit(salts)).alias("salt")).applyInArrow(merge, kind), "wrappers")
+    return rows
 
 
 def decide(items: list[dict] | None) -> str:

@@ -302,3 +302,20 @@ def test_common_subsequence(monkeypatch):
         pairs = html_extract.common(a, b)
         assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_html_long_wrappers(spark):
+    """Neither a page of many slots nor a host of many structures loses what comes after them."""
+    import random
+
+    draw = random.Random(4)
+    many = "".join(f"<div class='k{draw.choice('abcdefgh')}'>w</div>" for _ in range(9000))
+    tail = "<div class='own'>Page {}.</div><div class='site'>Call us.</div></body>"
+    rows = [(k, "http://long.example/", "<body>" + many + tail.format(k)) for k in range(3)]
+    # labels that no rule makes equal, 150 structures: a tree of two rounds
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    rows += [(100 + k, "http://wide.example/", f"<body><div class='s{name(k)}'>Slot {k}</div>" + tail.format(k)) for k in range(150)]
+    got = {r["page_id"]: r["text"] for r in html_extract.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Page {k}." for k in range(3))
+    assert all(got[100 + k] == f"Slot {k}\n\nPage {k}." for k in range(150))
+    assert len(html_extract.groups([str(k) for k in range(9000)])) == 9000
