@@ -2,10 +2,11 @@
 
 1. Licence words of every text, with their places, are found by a broadcast join on the vocabulary of the
    templates (fixed in this module, a few hundred words).
-2. Document frequencies over all documents give each word's IDF; each file looks up its rarest licence words
-   in the template postings.
+2. Document frequencies over all documents tell the rarest key-phrase word of each template; the files in
+   its postings are the template's candidates.  No file can hold the key phrases without it.
 3. Postings intersect by relative position: votes for one (template, place in file - place in template).
-4. A template counts if its mandatory key phrases stand in the file, found by the same intersection.
+4. A template counts if its mandatory key phrases stand in the file: the same intersection finds their indexed
+   words, then all their words are looked for in the text.
 
 The three base phrases are counted in the text itself and always give their labels.
 
@@ -16,9 +17,11 @@ null ids keep their rows; other columns of the input are not read; an empty tabl
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import LOWER, NON_ALNUM, UPPER, id_key, read, stored, text_of
 
@@ -44,8 +47,8 @@ TEMPLATES = {
 }
 #: Words of templates too frequent in prose to be worth an index entry; they keep their places.
 UNINDEXED = frozenset("a and any as are by for in is made of or that the this to under with without".split())
-#: A file looks up so many of its rarest licence words; this share of a template's words must line up.
-RAREST, MIN_SHARE = 12, 0.5
+#: This share of a template's words must line up.
+MIN_SHARE = 0.5
 
 
 def _count(text: Column, what: str) -> Column:
@@ -70,16 +73,16 @@ def licence_words(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def method_labels(docs: DataFrame) -> DataFrame:
-    """(k1, k2, labels, score): what the index finds, for documents with a label."""
+    """(k1, k2, found): labels and shares that the index finds; unindexed words of key phrases are still to be seen."""
     spark = docs.sparkSession
     texts, keys = _postings(spark)
     vocabulary = texts.select("word").union(keys.select("word")).distinct()
     hits = stored(licence_words(docs, vocabulary).distinct(), "licence-words")
     frequency = hits.select("k1", "k2", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
-    rare = hits.select("k1", "k2", "word").distinct().join(F.broadcast(frequency), "word")
-    rare = rare.withColumn("n", F.row_number().over(W.partitionBy("k1", "k2").orderBy("df", "word"))).filter(F.col("n") <= RAREST).select("k1", "k2", "word")
-    found = rare.join(F.broadcast(texts), "word").groupBy("k1", "k2", "label", "size").agg(F.count_distinct("word").alias("words"))
-    # the rarest words choose templates; then all licence words of the file line up
+    # every file with a template's key phrases has the rarest of their words
+    rarest = keys.select("label", "word").distinct().join(F.broadcast(frequency), "word", "left").groupBy("label").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "word"))["word"].alias("word"))
+    found = hits.join(F.broadcast(rarest), "word").select("k1", "k2", "label").distinct()
+    # then all licence words of the file line up
     at = hits.withColumnRenamed("place", "at")
     shift = (F.col("at") - F.col("place")).alias("shift")
     aligned = at.join(F.broadcast(texts), "word").groupBy("k1", "k2", "label", "size", shift).agg(F.count("*").alias("votes"))
@@ -87,8 +90,18 @@ def method_labels(docs: DataFrame) -> DataFrame:
     phrases = at.join(F.broadcast(keys), "word").groupBy("k1", "k2", "label", "phrase", "size", shift).agg(F.count("*").alias("n"))
     phrases = phrases.filter("n = size").groupBy("k1", "k2", "label").agg(F.count_distinct("phrase").alias("phrases"))
     wanted = spark.createDataFrame([(label, len(p)) for label, (_, p) in TEMPLATES.items()], "label string, phrases int")
-    kept = best.join(phrases, ["k1", "k2", "label"]).join(F.broadcast(wanted), ["label", "phrases"]).join(found.select("k1", "k2", "label"), ["k1", "k2", "label"], "left_semi")
-    return kept.groupBy("k1", "k2").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+    kept = best.join(phrases, ["k1", "k2", "label"]).join(F.broadcast(wanted), ["label", "phrases"]).join(found, ["k1", "k2", "label"], "left_semi")
+    return kept.groupBy("k1", "k2").agg(F.collect_set(F.struct("label", "share")).alias("found"))
+
+
+def key_labels(norm: Column) -> Column:
+    """Labels whose key phrases, with all their words, stand in a text whose words have one space around them."""
+    lower = F.translate(norm, UPPER, LOWER)
+    has = [(label, [lower.contains(f" {p} ") for p in phrases]) for label, (_, phrases) in TEMPLATES.items()]
+    labels = F.array_compact(F.array(*[F.when(reduce(and_, tests), F.lit(label)) for label, tests in has]))
+    # most texts have no last word of a key phrase
+    last = "|".join(sorted({p.split()[-1] for _, phrases in TEMPLATES.values() for p in phrases}))
+    return F.when(norm.rlike(f"(?i)(?<= )(?:{last})(?= )"), labels)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -109,14 +122,15 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(has, F.regexp_count("norm", F.lit(place))).otherwise(0).cast("long").alias("n_base"),
         F.when(has, _count(before_first, " ") - 1).cast("long").alias("first_word"),
         F.when(has, _count(before_last, " ") - 1).cast("long").alias("last_word"),
-        F.when(has, labels).otherwise(F.array().cast("array<string>")).alias("base"),
+        F.when(has, labels).otherwise(F.array().cast("array<string>")).alias("base"), key_labels(F.col("norm")).alias("keyed"),
     )
     out = base.join(method_labels(docs), ["k1", "k2"], "left")
-    every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast("array<string>")))))
+    found = F.coalesce(F.filter("found", lambda x: F.array_contains("keyed", x["label"])), F.array().cast("array<struct<label:string,share:double>>"))
+    every = F.array_sort(F.array_distinct(F.concat("base", F.transform(found, lambda x: x["label"]))))
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
-        F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.greatest(F.coalesce(F.array_max(F.transform(found, lambda x: x["share"])), F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
     )
 
 

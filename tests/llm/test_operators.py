@@ -319,3 +319,12 @@ def test_html_long_wrappers(spark):
     assert all(got[k] == f"Page {k}." for k in range(3))
     assert all(got[100 + k] == f"Slot {k}\n\nPage {k}." for k in range(150))
     assert len(html_extract.groups([str(k) for k in range(9000)])) == 9000
+
+
+def test_licence_templates(spark):
+    """A file that holds every template has every label; key phrases count with all their words."""
+    every = "\n\n".join(t for t, _ in license_scan.TEMPLATES.values())
+    rows = [(1, every), (2, "Licensed under CC x NC."), (3, "licensed under CC-BY-NC"), *((10 + k, license_scan.TEMPLATES["apache-2.0"][0]) for k in range(8))]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] >= set(license_scan.TEMPLATES)
+    assert got[2] == {""} and got[3] == {"cc-by-nc"} and got[10] == {"apache", "apache-2.0"}
