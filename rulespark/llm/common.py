@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, stored  # noqa: F401
+
 #: Java regular expressions for runs of separators.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -33,23 +32,6 @@ def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(9223372036854775807))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the setting is absent, as in tests, a fresh temporary one."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words_by_space(text: Column) -> Column:
     """Words of a text that has no null; an empty array if it has no word."""
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))

@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rulespark.storage import stored
+
+#: Rounds after which a loop's tables are written and read again.
+CUT = 8
+
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """The analytic tables of parsed rule files; a name that occurs again gets #k."""
@@ -131,17 +136,20 @@ def quality(rules: DataFrame, n_unused: DataFrame, complex_at: int = 10) -> Data
     return out.select("score", F.when(F.col("score") >= 90, "A").when(F.col("score") >= 80, "B").when(F.col("score") >= 70, "C").when(F.col("score") >= 60, "D").otherwise("F").alias("grade"))
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): pairs joined by a path, with the length of the shortest."""
-    step = edges.select(F.col("src").alias("via"), "dst")
-    found = frontier = edges.select("src", "dst").distinct().withColumn("depth", F.lit(1))
-    for depth in range(2, most + 1):
-        new = frontier.select("src", F.col("dst").alias("via")).join(step, "via").select("src", "dst").distinct().join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = new
+    found = frontier = stored(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1)), "closure")
+    step = found.select(F.col("src").alias("via"), "dst")
+    depth = 1
+    while True:
+        depth += 1
+        # a round reads the frontier twice, so each is written once
+        frontier = stored(frontier.select("src", F.col("dst").alias("via")).join(step, "via").select("src", "dst").distinct().join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if not frontier.limit(1).count():
-            break
+            return found
         found = found.unionByName(frontier)
-    return found
+        if depth % CUT == 0:
+            found = stored(found, "closure")
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
@@ -164,6 +172,8 @@ def levels(rules: DataFrame, edges: DataFrame) -> DataFrame:
         depth += 1
         frontier = frontier.select("src", F.col("dst").alias("via")).join(clean.select(F.col("src").alias("via"), "dst"), "via").select("src", F.lit(depth).alias("level"), "dst").distinct()
         longest = longest.unionByName(frontier)
+        if depth % CUT == 0:
+            frontier, longest = stored(frontier, "frontier"), stored(longest, "longest")
     top = longest.groupBy("src").agg(F.max("level").alias("level"))
     out = rules.select("rule").join(top.withColumnRenamed("src", "rule"), "rule", "left").join(tainted.withColumn("bad", F.lit(True)), "rule", "left")
     return out.select("rule", F.when(F.col("bad").isNull(), F.coalesce("level", F.lit(0))).alias("level"))

@@ -167,14 +167,8 @@ def from_json(text: str) -> pattern_rule.RuleFile:
     return pattern_rule.RuleFile(data["imports"], data["includes"], [pattern_rule.PatternRule(**{**r, "strings": [pattern_rule.Pattern(**p) for p in r["strings"]]}) for r in rules])
 
 
-def resolve_includes(files: DataFrame, most: int = 32) -> DataFrame:
+def resolve_includes(files: DataFrame) -> DataFrame:
     """(src, dst, depth) of the closure of includes; a file that includes itself closes a cycle and stops there."""
-    edges = files.select(F.col("path").alias("src"), F.explode(F.regexp_extract_all("text", F.lit(r'(?m)^\s*include\s+"([^"]*)"'), F.lit(1))).alias("dst")).distinct()
-    found = frontier = edges.withColumn("depth", F.lit(1))
-    for depth in range(2, most + 1):
-        step = frontier.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        frontier = step.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))
-        if not frontier.limit(1).count():
-            break
-        found = found.unionByName(frontier)
-    return found
+    from ..operators.corpus import closure
+
+    return closure(files.select(F.col("path").alias("src"), F.explode(F.regexp_extract_all("text", F.lit(r'(?m)^\s*include\s+"([^"]*)"'), F.lit(1))).alias("dst")).distinct())
