@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, stored  # noqa: F401
+from ..storage import drop, shared_dir, stored  # noqa: F401
 
 #: Java regular expressions for runs of separators.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,3 +36,16 @@ def words_by_space(text: Column) -> Column:
     """Words of a text that has no null; an empty array if it has no word."""
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+
+
+def without(docs: DataFrame, gone: DataFrame, broadcast_ids: int = 500_000) -> DataFrame:
+    """The rows whose doc_id is not among `gone` (one column), in the columns they came in; null equals null.
+
+    Few ids (8 bytes each, counted first) are broadcast, so the texts are not shuffled; more are joined by shuffle.
+    """
+    name = "_gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = stored(gone.toDF(name).distinct(), "gone-ids")
+    few = gone.count() <= broadcast_ids
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")

@@ -10,9 +10,12 @@ says little; m - D - 1 such blocks may be left out without losing a pair, and a
 emits them all.
 
 Each group of equal blocks gives pairs with its first member.  A second sketch of 1,024 parity bits (Hamming
-distance again bounds the difference) and then the sets themselves verify them.  Members of a group that are
-not connected by then are compared with those of the other components of the group, by parity bits first; so
-every linked pair is either verified or inside a component, and no group is expanded into all its pairs.
+distance again bounds the difference) and then the sets themselves verify them.  Where a group has members in
+more than one component, its parity bits are compared across components: a member with a near one gives one row
+(not one for each pair), with the least class of those it hangs together with.  Such classes form nests; the whole sets of a
+nest are compared across components, once for all groups, and give a spanning forest of links.  So every linked
+pair is either verified or inside a component, and the rows that leave a group or nest are linear in its members.
+Groups and nests beyond a tile's size are dealt into tiles, in which every two of their members meet.
 
 Defined cases: null, empty and blank texts have no shingle, link with nothing and are their own component; null
 ids count as the largest and give null; repeated rows and equal texts share a class; extra columns are not read;
@@ -26,12 +29,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, id_key, read, stored
+from .common import LOWER_BYTES, drop, id_key, read, stored, without
 
 SIZE, PERCENT = 5, 80
 PARITY_WORDS = 16
 #: Block values for one task of the join, and class ids that may be broadcast (8 bytes each).
 BLOCKS_PER_TASK, BROADCAST_IDS = 1_500_000, 500_000
+#: Members of a group, and shingles of a nest, in one part of a tile.
+TILE, TILE_SHINGLES = 8192, 4_000_000
 #: Word hashes kept by a Python worker.
 HASHES = 400_000
 NO_ID = 9223372036854775807
@@ -230,7 +235,7 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """(class, shingles) of the classes in pairs, from the text of one document each."""
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    ids = stored(wanted.join(classes, "class").select(F.col("first").alias("_id")), "class-ids")
+    ids = stored(wanted.join(classes, "class").select(F.col("first").alias("id")), "class-ids")
     few = ids.count() <= BROADCAST_IDS  # else both sides are shuffled
 
     def run(batches):
@@ -243,18 +248,22 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> D
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "shingles"])
 
-    texts = docs.select(id_key().alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "_id", "left_semi")
-    sets = texts.select("text").mapInArrow(run, "class long, shingles array<long>")
-    return stored(sets, "shingle-sets")
+    texts = docs.select(id_key().alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    sets = stored(texts.select("text").mapInArrow(run, "class long, shingles array<long>"), "shingle-sets")
+    drop(ids)
+    return sets
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Linked pairs (a, b) among the candidates, by their whole sets; stored."""
     pairs = stored(_near(pairs, classes, percent), "near-pairs")
-    sets = _sets(docs, classes, pairs, size).dropDuplicates(["class"])
-    one = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias(f"s{x}"))
+    sets = _sets(docs, classes, pairs, size)
+    once = sets.dropDuplicates(["class"])
+    one = lambda x: once.select(F.col("class").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return stored(both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "links")
+    links = stored(both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "links")
+    drop(pairs, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,20 +271,89 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
     labels = stored(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "class"), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("class", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["class"] == near["u"]).select("class", "label", F.least("label", "near").alias("low"))
+        near = edges.join(labels.select(F.col("class").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        step = labels.select("class", "label").join(near, F.col("class") == F.col("u")).select("class", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("class").alias("low"), F.col("label").alias("further"))
         new = stored(step.join(jump, "low").select("class", F.least("low", "further").alias("label"), F.col("label").alias("old")), "labels")
         changed = new.filter("label != old").limit(1).count()
-        labels = new.select("class", "label")
+        drop(labels)
+        labels = new
         if not changed:
+            drop(edges)
             return labels.select("class", F.col("label").alias("component"))
 
 
-def _across(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of group members that lie in different components and pass the parity bits; few leave a group."""
+def _tiled(rows: DataFrame, key: str, tiles: Column) -> DataFrame:
+    """Rows of a key in tiles: each pair of rows meets in one tile (two if the rows share a part) of bounded size.
+
+    A key that fits a tile is one; else its rows are dealt into parts, and a tile holds two parts.
+    """
+    rows = rows.withColumn("tiles", tiles.cast("int")).withColumn("part", F.pmod(F.xxhash64("class", F.lit(3)), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", "tiles")
+    return rows.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
+
+
+def key_runs(batches, width: int):
+    """Batches of the rows with equal first columns, from batches sorted by them."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, name = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [np.asarray(batch.column(i)) for i in range(width)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for k in keys:
+            change |= k[1:] != k[:-1]
+        first = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(first, [*first[1:], batch.num_rows]):
+            own = tuple(int(k[a]) for k in keys)
+            if held and own != name:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            name = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+class Tile:
+    """Rows of a tile, those outside its largest component first: only they can be in an unconnected pair."""
+
+    def __init__(self, batch, percent: int):
+        import numpy as np
+
+        self.percent = percent
+        cls, comp, n, part = (np.asarray(batch.column(batch.schema.get_field_index(x))) for x in ("class", "component", "n_shingles", "part"))
+        bits = np.asarray(batch.column(batch.schema.get_field_index("parity")).flatten()).reshape(-1, PARITY_WORDS).view(np.uint64)
+        names, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        largest = which == int(np.argmax(sizes))
+        self.order = np.lexsort((cls, largest))
+        self.cls, self.comp, self.n, self.part, self.bits = cls[self.order], which[self.order], n[self.order], part[self.order], bits[self.order]
+        self.single, self.outside = int(part.min()) == int(part.max()), int((~largest).sum())
+
+    def near(self, i: int):
+        """Later rows of other components whose sizes and parity bits allow the similarity with row i."""
+        import numpy as np
+
+        rest = slice(i + 1, None)
+        n, own = self.n[rest], self.n[i]
+        far = np.bitwise_count(self.bits[i] ^ self.bits[rest]).sum(1, dtype=np.int64)
+        ok = (self.comp[rest] != self.comp[i]) & (np.minimum(n, own) * 100 >= np.maximum(n, own) * self.percent) & (far * (100 + self.percent) <= (n + own) * (100 - self.percent))
+        if not self.single:
+            ok &= self.part[rest] != self.part[i]
+        return np.flatnonzero(ok) + i + 1
+
+
+def _live(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes that have a near one in another component of a group, each with the least class it hangs together with.
+
+    At most one row for each member of a tile.
+    """
     many = groups.filter("members > 2")
-    rows = many.select("key", "class").union(many.select("key", "hub")).distinct()
+    rows = many.select("key", "class", "members").union(many.select("key", "hub", "members")).distinct()
     rows = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
     rows = rows.join(split, "key", "left_semi").join(classes.select("class", "n_shingles", "parity"), "class")
@@ -284,39 +362,65 @@ def _across(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: i
         import numpy as np
         import pyarrow as pa
 
-        def pairs(part):
-            cls, comp, n = (np.asarray(part.column(i)) for i in (1, 2, 3))
-            bits = np.asarray(part.column(4).flatten()).reshape(-1, PARITY_WORDS).view(np.uint64)
-            order = np.argsort(n, kind="stable")
-            cls, comp, n, bits = cls[order], comp[order], n[order], bits[order]
-            for i in range(len(cls) - 1):
-                end = np.searchsorted(n, n[i] * 100 // percent, "right")
-                far = np.bitwise_count(bits[i] ^ bits[i + 1 : end]).sum(1, dtype=np.int64)
-                ok = np.flatnonzero((comp[i + 1 : end] != comp[i]) & (far * (100 + percent) <= (n[i] + n[i + 1 : end]) * (100 - percent))) + i + 1
-                if len(ok):
-                    yield np.minimum(cls[i], cls[ok]), np.maximum(cls[i], cls[ok])
-
-        def out(found):
-            a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        held = None
-        for batch in batches:  # sorted by key; a group may go on in the next batch
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            table = table.combine_chunks()
-            keys = np.asarray(table.column(0))
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            for a, b in zip(first[:-1], first[1:]):
-                if found := list(pairs(table.slice(a, b - a).combine_chunks().to_batches()[0])):
-                    yield out(found)
-            held = table.slice(first[-1])
-        if held is not None and (found := list(pairs(held.combine_chunks().to_batches()[0]))):
-            yield out(found)
-
-    dealt = rows.select("key", "class", "component", "n_shingles", "parity").repartition("key").sortWithinPartitions("key")
+        seen: set = set()
+        for batch in key_runs(batches, 3):
+            tile = Tile(batch, percent)
+            root = np.arange(len(tile.cls))
+            for i in range(tile.outside):
+                if len(ok := tile.near(i)):
+                    met = np.unique(root[np.append(ok, i)])
+                    root[np.isin(root, met)] = met[0]
+            low = tile.cls.copy()
+            np.minimum.at(low, root, tile.cls)
+            low = low[root]
+            new = [x for x in zip(tile.cls[low != tile.cls].tolist(), low[low != tile.cls].tolist()) if x not in seen]
+            if len(seen) > HASHES:
+                seen.clear()
+            seen.update(new)
+            if new:
+                a, b = zip(*new)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = _tiled(rows, "key", F.ceil(F.col("members") / TILE)).select("key", "low", "high", "class", "component", "n_shingles", "part", "parity")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _across(docs: DataFrame, live: DataFrame, labels: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that connect different components, by the whole sets of all near classes; a spanning forest of them."""
+    near = components(live).withColumnRenamed("component", "nest")
+    rows = near.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")).join(classes.select("class", "n_shingles", "parity"), "class")
+    heavy = rows.groupBy("nest").agg(F.sum("n_shingles").alias("weight"))
+    sets = _sets(docs, classes, live, size)
+    rows = rows.join(heavy, "nest").join(sets.dropDuplicates(["class"]), "class")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in key_runs(batches, 3):
+            tile, links = Tile(batch, percent), []
+            column = batch.column(batch.schema.get_field_index("shingles"))
+            flat, ends = np.asarray(column.flatten()), np.asarray(column.offsets)
+            ends = ends - ends[0]
+            own = [flat[ends[k] : ends[k + 1]] for k in tile.order]
+            for i in range(tile.outside):
+                for j in tile.near(i):
+                    if tile.comp[i] == tile.comp[j]:
+                        continue
+                    common = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                    if common * 100 >= (len(own[i]) + len(own[j]) - common) * percent:
+                        links.append((int(tile.cls[i]), int(tile.cls[j])))
+                        tile.comp[tile.comp == tile.comp[j]] = tile.comp[i]
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = _tiled(rows, "nest", F.ceil(F.col("weight") / TILE_SHINGLES)).select("nest", "low", "high", "class", "component", "n_shingles", "part", "parity", "shingles")
+    links = stored(dealt.mapInArrow(run, "a long, b long"), "links")
+    drop(sets)
+    return links
+
+
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     rows = stored(measured(docs, size), "shingled")
@@ -329,10 +433,11 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     pairs = groups.select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
     links = verified(docs, classes, pairs, size, percent)
     labels = components(links)
-    more = stored(_across(groups, labels, classes, percent), "across")
-    if more.limit(1).count():
-        links = links.union(verified(docs, classes, more, size, percent)).distinct()
-        labels = components(links)
+    live = stored(_live(groups, labels, classes, percent), "near-classes")
+    drop(groups)
+    if live.limit(1).count():
+        labels = components(links.union(_across(docs, live, labels, classes, size, percent)))
+    drop(live, links)
     known = classes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = known.groupBy("component").agg(F.min("first").alias("lowest"))
     known = known.filter("copies > 1 or component != class").select("class", "component").union(labels.join(classes.filter("copies = 1"), "class").filter("component = class").select("class", "component"))
@@ -344,8 +449,10 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
 
 def clean(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, in the columns they came in; rows without a shingle all stay."""
-    keep = join(docs, size, percent).filter("doc_id = component_id or component_id is null or n_shingles = 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    found = join(docs, size, percent)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull() | (F.col("n_shingles") == 0)
+    gone = found.groupBy("doc_id").agg(F.max(stays).alias("stays")).filter("not stays").select("doc_id")
+    return without(docs, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
