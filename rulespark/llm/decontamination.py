@@ -3,31 +3,33 @@
 `build_index` stores, for segments of documents, the postings of every token that occurs in the test items:
 per term the sorted places of the segment (documents follow one another with a gap).  Tokens that no test item
 has are never queried and get no postings.  `search` adds up the terms' frequencies over all segments, orders
-the terms of each window from the rarest, and in every segment intersects their lists, each moved by the term's
-offset in the window, until the lists are empty or all terms agree: exact phrase matches.
+the terms of each window from the rarest, takes the windows whose rarest term a segment has, and intersects
+their terms' lists, each moved by the term's offset in the window, until the lists are empty or all terms agree:
+exact phrase matches.
 `proximity` finds test terms that stand within a span of words, in any order, from the same postings.
 
-The test items go through in blocks of a bounded number of words, each with an index over its own terms, so
-what is sent to the executors is bounded; results of blocks are merged by document.
+The test items go through in sections of a bounded vocabulary and number of words, each with one index over its
+terms, and a section in blocks of windows that are broadcast as arrays; so what is sent to the executors is
+bounded.  Results are merged by document.
 
-Defined cases: a null text has no words; null, empty or repeated items: an item without words is never found,
-equal texts under several ids are all reported; an item with fewer words than a window is one window; repeated
-documents are rows of their own (numbered in their segment); extra columns are not read; an empty table or an
-empty benchmark gives no rows, or rows without hits.
+Defined cases: a null text has no words; an item without words is never found; an item with a null id hits and
+counts like the others (all such items as one) but is not named; equal texts under several ids are all reported;
+an item with fewer words than a window is one window; repeated documents are rows of their own (numbered in their
+segment); extra columns are not read; an empty table or an empty benchmark gives no rows, or rows without hits.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, read, stored
+from .common import ALNUM_BYTES, read, stored, without
 
 WINDOW = 10
-#: Words of test items in a block, and documents and words in a segment, at most (a longer document is a segment).
-BLOCK_WORDS, SEGMENT_DOCS, SEGMENT_WORDS = 1_000_000, 2048, 1_500_000
+#: Words of test items in a block and in a section, and distinct words of a section, at most (a longer item is one).
+BLOCK_WORDS, SECTION_WORDS, VOCABULARY = 1_000_000, 16_000_000, 500_000
+#: Documents and words in a segment, at most (a longer document is a segment); places looked up at once.
+SEGMENT_DOCS, SEGMENT_WORDS, PLACES = 2048, 1_500_000, 2_000_000
 INDEX = "segment long, rows binary, terms binary, counts binary, postings binary"
 MATCHES = "row_id long, start int, stop int, item_id string"
 
@@ -41,17 +43,41 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-class Terms:
-    """Words of a block of test items, and the windows over them."""
+class Windows:
+    """Distinct windows over a block of items (id, term numbers), as arrays: a row of terms each, -1 after the last."""
+
+    def __init__(self, items: list[tuple], window: int = WINDOW):
+        import numpy as np
+
+        rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
+        for k, (_, numbers) in enumerate(items):
+            if not len(numbers):
+                continue
+            own = np.full((max(1, len(numbers) - window + 1), window), -1, np.int32)
+            if len(numbers) < window:
+                own[0, : len(numbers)] = numbers
+            else:
+                own[:] = np.lib.stride_tricks.sliding_window_view(numbers, window)
+            rows.append(own)
+            owner.append(np.full(len(own), k, np.int64))
+        every, owner = np.concatenate(rows), np.concatenate(owner)
+        self.names = [item for item, _ in items]
+        self.terms, which = np.unique(every, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel(), owner], 1), axis=0)
+        #: Items of window k: items[first[k] : first[k + 1]].
+        self.items, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1))
+
+    def rarest_first(self, often) -> None:
+        """Order each window's terms by frequency and the windows by their rarest term; windows with an unseen term go."""
+        import numpy as np
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
-        spans: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, words in items:
-            numbers = [self.ids.setdefault(w, len(self.ids)) for w in words]
-            for i in range(max(1, len(numbers) - window + 1)) if numbers else ():
-                spans[tuple(numbers[i : i + window])].add(item)
-        self.windows = sorted((k, tuple(sorted(v))) for k, v in spans.items())
+        counts = np.where(self.terms >= 0, np.append(often, 0)[self.terms], np.iinfo(np.int64).max)
+        order = np.argsort(counts, axis=1, kind="stable").astype(np.int8)
+        seen = np.flatnonzero(np.take_along_axis(counts, order[:, :1].astype(np.int64), 1)[:, 0] > 0)
+        terms = np.take_along_axis(self.terms, order.astype(np.int64), 1)
+        seen = seen[np.argsort(terms[seen, 0], kind="stable")]
+        self.window, self.order, self.terms = seen, order[seen], terms[seen]
+        self.length = (self.terms >= 0).sum(1)
 
 
 def build_index(docs: DataFrame, ids: dict[bytes, int]) -> tuple[DataFrame, DataFrame]:
@@ -121,46 +147,59 @@ def frequencies(index: DataFrame, terms: int):
     return out
 
 
-def search(index: DataFrame, terms: Terms) -> DataFrame:
+def search(index: DataFrame, windows: Windows, often) -> DataFrame:
     """Exact phrase matches: (row_id, start, stop, item_id), a row for each place of a window and item."""
-    often = frequencies(index, len(terms.ids))
-    plan = []
-    for window, items in terms.windows:
-        order = sorted(range(len(window)), key=lambda k: (often[window[k]], k))
-        if often[window[order[0]]]:
-            plan.append((tuple((window[k], k) for k in order), len(window), items))
-    shared = index.sparkSession.sparkContext.broadcast(plan)
+    windows.rarest_first(often)
+    shared = index.sparkSession.sparkContext.broadcast(windows)
+
+    def places(lead, names, counts):
+        """(window, place) arrays of the windows whose rarest term the segment has, some at a time."""
+        import numpy as np
+
+        ends = np.cumsum(counts)
+        k = np.searchsorted(names, lead)
+        k[k == len(names)] = 0
+        own = np.flatnonzero(names[k] == lead) if len(names) else np.zeros(0, np.int64)
+        size, begin = counts[k[own]], (ends - counts)[k[own]]
+        total = np.cumsum(size)
+        at = 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(total, PLACES + (total[at - 1] if at else 0), "right")))
+            n = size[at:to]
+            yield np.repeat(own[at:to], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at:to], n)
+            at = to
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        w = shared.value
+        lead = w.terms[:, 0]
         for batch in batches:
             for segment, rows, names, counts, postings in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                starts = np.frombuffer(rows, "<i8")
-                ends = np.cumsum(np.frombuffer(counts, "<i4"))
-                lists = dict(zip(np.frombuffer(names, "<i4").tolist(), np.split(np.frombuffer(postings, "<i4"), ends[:-1])))
-                found: list[tuple] = []
-                for order, length, items in shared.value:
-                    first = lists.get(order[0][0])
-                    if first is None:
-                        continue
-                    at = first - order[0][1]
-                    for term, offset in order[1:]:
-                        other = lists.get(term)
-                        if other is None:
-                            at = at[:0]
+                starts, names, counts = np.frombuffer(rows, "<i8"), np.frombuffer(names, "<i4"), np.frombuffer(counts, "<i4").astype(np.int64)
+                posting = np.frombuffer(postings, "<i4").astype(np.int64)
+                # lists one after the other, by term and place: one sorted array of both
+                lists = np.repeat(names.astype(np.int64), counts) << 32 | posting
+                found: list[list] = [[], [], [], []]
+                for own, k in places(lead, names, counts):
+                    at = posting[k] - w.order[own, 0]
+                    for n in range(1, w.terms.shape[1]):
+                        term = w.terms[own, n].astype(np.int64)
+                        want = term << 32 | np.maximum(at + w.order[own, n], 0)
+                        k = np.minimum(np.searchsorted(lists, want), len(lists) - 1)
+                        keep = (term < 0) | ((lists[k] == want) & (at >= 0))
+                        own, at = own[keep], at[keep]
+                        if not len(own):
                             break
-                        k = np.searchsorted(other, at + offset)
-                        at = at[other[np.minimum(k, len(other) - 1)] == at + offset]
-                        if not len(at):
-                            break
-                    if len(at):
+                    if len(own):
                         doc = np.searchsorted(starts, at, "right") - 1
-                        for d, s in zip(doc.tolist(), (at - starts[doc]).tolist()):
-                            found += [(segment + d, s, s + length, item) for item in items]
-                columns = list(zip(*found)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["row_id", "start", "stop", "item_id"])
+                        for d, s, x in zip(doc.tolist(), (at - starts[doc]).tolist(), own.tolist()):
+                            first, last = w.first[w.window[x]], w.first[w.window[x] + 1]
+                            for item in w.items[first:last].tolist():
+                                for column, value in zip(found, (segment + d, s, s + int(w.length[x]), w.names[item])):
+                                    column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["row_id", "start", "stop", "item_id"])
 
     return index.select("segment", "rows", "terms", "counts", "postings").mapInArrow(run, MATCHES)
 
@@ -196,44 +235,68 @@ def proximity(docs: DataFrame, phrase: str, span: int) -> DataFrame:
     return hits.join(rows, "row_id").select("doc_id", "start")
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
-    """The test items in blocks of at most so many words; one block is held at a time."""
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null").toLocalIterator():
+def sections(benchmark: DataFrame, most: int = SECTION_WORDS, vocabulary: int = VOCABULARY):
+    """(term numbers by word, items as (id, term numbers)): test items in sections of bounded size, one held at a time."""
+    import numpy as np
+
+    ids: dict[bytes, int] = {}
+    items: list[tuple] = []
+    size = 0
+    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         words = words_of(row["text"])
-        if block and size + len(words) > most:
-            yield Terms(block)
-            block, size = [], 0
-        block.append((row["item_id"], words))
+        if items and (size + len(words) > most or len(ids) > vocabulary):
+            yield ids, items
+            ids, items, size = {}, [], 0
+        items.append((row["item_id"], np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words))))
         size += len(words)
-    yield Terms(block)
+    yield ids, items
+
+
+def blocks(items: list[tuple], most: int = BLOCK_WORDS):
+    """Items in blocks of at most so many words."""
+    block, size = [], 0
+    for item in items:
+        if block and size + len(item[1]) > most:
+            yield block
+            block, size = [], 0
+        block.append(item)
+        size += len(item[1])
+    yield block
 
 
-def measure(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def measure(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, section_words: int = SECTION_WORDS) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items (sorted), contaminated, and `spans` of the hits."""
     matches = rows = None
-    for terms in blocks(benchmark, block_words):
-        index, own = build_index(docs, terms.ids)
-        found = search(index, terms)
-        rows = rows if rows is not None else own
-        matches = found if matches is None else matches.unionByName(found)
+    parts = sections(benchmark, section_words)
+    section, later = next(parts), next(parts, None)
+    if later:  # more than one index: rows must have the same numbers in each, whatever the order of the input's rows
+        docs = stored(numbered(docs), "numbered")
+    while section:
+        ids, items = section
+        index, own = build_index(docs, ids)
+        often = frequencies(index, len(ids))
+        rows = own if rows is None else rows
+        for block in blocks(items, block_words):
+            found = search(index, Windows(block), often)
+            matches = found if matches is None else matches.unionByName(found)
+        section, later = later, next(parts, None) if later else None
     # spans merge in order of start: a span counts from the end of what came before
-    merged = matches.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    places = F.array_sort(F.collect_set(F.struct("start", "stop")))
+    merged = matches.groupBy("row_id").agg(places.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("long")).alias("unnamed"))
     hit = F.aggregate("spans", F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["to"], s["stop"]).alias("to"), (a["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(a["to"], s["start"]))).alias("n")), lambda a: a["n"])
     out = rows.join(merged, "row_id", "left")
-    none = F.array().cast("array<string>")
-    return out.select("row_id", "doc_id", "n_words", F.coalesce(hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.col("spans"), F.col("spans").isNotNull().alias("contaminated"))
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    return out.select("row_id", "doc_id", "n_words", F.coalesce(hit, zero).alias("n_hit"), F.coalesce(F.size("items") + F.col("unnamed"), zero).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.col("spans"), F.col("spans").isNotNull().alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without benchmark passages, in the columns they came in; rows of one id stay or go together."""
-    found = measure(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id"), "n_words").distinct()
-    return docs.join(found.select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return without(docs, measure(docs, benchmark).filter("contaminated").select("doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = measure(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 #: The same by joining every window of words.

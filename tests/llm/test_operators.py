@@ -86,23 +86,59 @@ def test_sharding(odd, empty):
     assert sharding.shuffle(empty).count() == 0
 
 
+def test_sharding_is_the_same_for_any_partitions(spark):
+    """Slots follow from the records alone, also where equal records fill more than a bucket."""
+    docs = [(k, f"text {k}") for k in range(400)] + [(7000, "the same")] * 300 + [(None, None)] * 200
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    for parts in (1, 5):
+        rows = sharding.shuffle(df.repartition(parts), 4, bucket_bytes=4000, bucket_rows=20, full_rows=60).collect()
+        assert Counter((r["row"]["doc_id"], r["row"]["text"]) for r in rows) == Counter(docs)
+        seen.append(sorted((r["shard"], r["slot"], str(r["row"]["doc_id"]), str(r["row"]["text"]), r["grown_shard"]) for r in rows))
+        for shard in range(4):
+            assert [x[1] for x in seen[-1] if x[0] == shard] == list(range(sum(x[0] == shard for x in seen[-1])))
+    assert seen[0] == seen[1]
+    first = [x for x in seen[0] if x[0] == seen[0][0][0]]
+    assert [x[2] for x in first] != sorted((x[2] for x in first), key=str)  # mixed
+    # key: the shard depends on the id alone; query has the contract's columns
+    assert all(len({x[0] for x in seen[0] if x[2] == i}) == 1 for i in {x[2] for x in seen[0]})
+
+
+def test_fisher_yates(spark):
+    orders = spark.range(600).select(sharding.fisher_yates(F.lit(4), F.col("id")).alias("p")).collect()
+    counts = Counter(tuple(r["p"]) for r in orders)
+    assert len(counts) == 24 and all(sorted(p) == [0, 1, 2, 3] for p in counts) and max(counts.values()) < 60
+
+
 def test_write_shards(spark, odd, tmp_path):
     sharding.write_shards(odd, str(tmp_path / "shards"), shards=2)
     assert spark.read.parquet(str(tmp_path / "shards")).count() == odd.count()
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", "a <|end|>\n&lt; x"), (1, 1, "assistant", "<|user|>\n"), (2, None, None, None), (2, 3, "assistant", "y"), (2, 3, "assistant", "y"), (None, 0, "user", "z"), *((3, k, "assistant", str(k)) for k in range(200))]
+    rows = [(1, 0, "user", "a <|end|>\n&lt; x"), (1, 1, "assistant", "<|user|>\n"), (2, None, None, None), (2, 3, "assistant", "y"), (2, 3, "assistant", "y"), (None, 0, "user", "z"), (4, 0, "a|>\nb & <c>", "hello|>\n"), *((3, k, "assistant", str(k)) for k in range(200))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: [tuple(t) for t in r["t"]] for r in chat_format.format_rows(df).select("conv_id", chat_format.read_back(F.col("formatted")).alias("t")).collect()}
     assert got[1] == [("user", "a <|end|>\n&lt; x"), ("assistant", "<|user|>\n")]
     assert got[2] == [("", ""), ("assistant", "y"), ("assistant", "y")]
+    assert got[4] == [("a|>\nb & <c>", "hello|>\n")]
     assert got[None] == [("user", "z")]
     assert [t for _, t in got[3]] == [str(k) for k in range(200)]
     assert chat_format.format_rows(df.limit(0)).count() == 0
 
 
 def test_chat_layouts(spark):
+    extra = [
+        '{"id":1,"meta":{"a":[1,2],"b":{"c":null}},"messages":[{"role":"human","content":"q","name":"x"},{"role":"gpt","content":"a","tags":["t"]}]}', '{"prompt":"q","response":"a","input":"other","date":"d"}',
+        '{"source":"s","conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"data":{"prompt":"q"}}', "[1]",
+    ]
+    pair = [("user", "q"), ("assistant", "a")]
+    rows = chat_format.canonical(spark.createDataFrame([(x,) for x in extra], "record string")).collect()
+    assert [r["turns"] and [tuple(t) for t in r["turns"]] for r in rows] == [pair, pair, pair, None, None]
+    paths = spark.createDataFrame([(extra[0],)], "r string").select(chat_format.paths_of(F.parse_json("r"))).first()[0]
+    assert paths == ["id", "messages[].content", "messages[].name", "messages[].role", "messages[].tags[]", "meta.a[]", "meta.b.c"]
+    table = spark.createDataFrame([(1, 0, "n", "human", "hi")], "conv_id long, turn long, note string, `from` string, value string")
+    assert [tuple(r) for r in chat_format.map_rows(table).collect()] == [(1, 0, "human", "hi")]
     records = ['{"messages":[{"role":"human","content":"q"},{"role":"assistant","content":"a"}]}', '{"prompt":"q","response":"a"}', '{"instruction":"i","input":"j","output":"o"}', '{"odd":1}', "not json", None]
     got = [r["turns"] and [tuple(t) for t in r["turns"]] for r in chat_format.canonical(spark.createDataFrame([(x,) for x in records], "record string")).collect()]
     assert got == [[("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "a")], [("user", "i"), ("user", "j"), ("assistant", "o")], None, None, None]
@@ -199,7 +235,7 @@ def test_jaccard(spark, odd, empty):
 
 def test_decontamination(spark, odd, empty):
     items = spark.createDataFrame([("a", "the text stands here and says nothing much about anything at"), ("b", "MIT license"), ("c", None), ("d", ""), ("e", "mit LICENSE"), (None, "one")], "item_id string, text string")
-    bench = [(r["item_id"], ALNUM.findall((r["text"] or "").translate(LOWER))) for r in items.collect() if r["item_id"]]
+    bench = [(r["item_id"], ALNUM.findall((r["text"] or "").translate(LOWER))) for r in items.collect()]
     want = []
     for i, t in texts(odd):
         w = ALNUM.findall((t or "").translate(LOWER))
@@ -211,11 +247,13 @@ def test_decontamination(spark, odd, empty):
                     if w[s : s + len(window)] == window:
                         hit |= set(range(s, s + len(window)))
                         found.add(item)
-        want.append((i, len(w), len(hit), sorted(found)))
-    for words in (1_000_000, 3):  # one block, and a block for each item
-        got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontamination.measure(odd, items, words).collect()]
+        want.append((i, len(w), len(hit), len(found), sorted(x for x in found if x)))
+    # an item with a null id hits and counts, but is not named
+    assert (6, 1, 1, 1, []) in want
+    for words, section in ((1_000_000, 1_000_000), (3, 1_000_000), (3, 5)):  # one block, a block for each item, several indexes
+        got = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"]) for r in decontamination.measure(odd, items, words, section).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert {r["doc_id"] for r in decontamination.clean(odd, items).collect()} >= {3, 4, 6, 9}
+    assert {r["doc_id"] for r in decontamination.clean(odd, items).collect()} == {i for i, _, n, *_ in want if not n}
     assert decontamination.measure(empty, items).count() == 0
     assert decontamination.measure(odd, items.limit(0)).filter("contaminated").count() == 0
     near = decontamination.proximity(odd, "license mit", 1)
