@@ -2,12 +2,14 @@
 
 Bytes are read as a latin-1 string, one character for a byte, so strings of every kind become Java regular
 expressions.  `$a` is `contains` or `rlike`; counts, offsets and lengths come from look-aheads, which find
-overlapping matches.  Nothing leaves the JVM, and strings that no condition needs are never searched.
+overlapping matches.  Nothing leaves the JVM (but for `many_literals` with large sets), and strings that no
+condition needs are never searched.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -68,18 +70,43 @@ def hex_regex(tokens) -> str:
     return "".join(map(one, tokens))
 
 
+#: One atom of a regular expression: escape, class, or a single character.
+ATOM = re.compile(r"\\x[0-9A-Fa-f]{2}|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", re.S)
+QUANTIFIER = re.compile(r"[*+?]\??|\{\d*,?\d*\}\??")
+
+
+def wide_regex(pattern: str) -> str:
+    """A regular expression whose every character has a zero byte after it."""
+    out, at = [], 0
+    while at < len(pattern):
+        if quantifier := QUANTIFIER.match(pattern, at):
+            out.append(quantifier.group())
+            at = quantifier.end()
+            continue
+        if group := re.compile(r"\(\?(?:[:=!]|<[=!])").match(pattern, at):
+            out.append(group.group())
+            at = group.end()
+            continue
+        atom = ATOM.match(pattern, at)
+        text, at = atom.group(), atom.end()
+        out.append(text if text in ("(", ")", "|", "^", "$", "\\b", "\\B") else f"(?:{text}\\x00)")
+    return "".join(out)
+
+
 def regex_of(p: Pattern) -> str:
     """A Java regular expression over the latin-1 view of the bytes."""
     m = p.modifiers
     if p.kind == "hex":
         return hex_regex(p.value)
+    widths = [w for w in (False, True) if w and "wide" in m or not w and ("ascii" in m or "wide" not in m)]
     if p.kind == "regex":
         pattern, flags = p.value
-        flags = ("i" if "i" in flags or "nocase" in m else "") + ("s" if "s" in flags else "")
-        body = f"(?{flags}:{pattern})" if flags else f"(?:{pattern})"
-        return _word(body, False) if "fullword" in m else body
+        # d: only \n ends a line, as for bytes
+        flags = "d" + ("i" if "i" in flags or "nocase" in m else "") + ("s" if "s" in flags else "") + ("m" if "m" in flags else "")
+        forms = [f"(?{flags}:{wide_regex(pattern) if w else pattern})" for w in widths]
+        forms = [_word(x, w) if "fullword" in m else x for x, w in zip(forms, widths)]
+        return forms[0] if len(forms) == 1 else "(?:" + "|".join(forms) + ")"
     raw, forms = _bytes(p.value), []
-    widths = [w for w in (False, True) if w and "wide" in m or not w and ("ascii" in m or "wide" not in m)]
     wide = lambda b: b"".join(bytes((x, 0)) for x in b)
     if "base64" in m or "base64wide" in m:
         for name in ("base64", "base64wide"):
@@ -101,6 +128,25 @@ def regex_of(p: Pattern) -> str:
     return forms[0] if len(forms) == 1 else "(?:" + "|".join(forms) + ")"
 
 
+def running(numbers: Column, finish=lambda x: x) -> Column:
+    """Running sums of an array of longs.
+
+    Sums go by runs of 128: an array that grows by one place is copied each time, so long ones are not grown that way.
+    """
+    none, run = F.array().cast("array<bigint>"), 128
+
+    def sums(x: Column) -> Column:
+        return F.aggregate(x, none, lambda a, n: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("long")) + n))
+
+    def joined(parts: Column) -> Column:
+        before = sums(F.transform(parts, lambda x: F.get(x, F.size(x) - 1)))
+        return F.flatten(F.zip_with(parts, F.slice(F.concat(F.array(F.lit(0).cast("long")), before), F.lit(1), F.size(parts)), lambda x, b: F.transform(x, lambda y: finish(y + b))))
+
+    whole = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / run).cast("int")), lambda k: sums(F.slice(x, k * run + 1, F.lit(run))))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(numbers, lambda x: F.when(F.size(x) > 0, let(whole(x), joined)).otherwise(none))
+
+
 @dataclass
 class Context:
     data: Column
@@ -126,7 +172,7 @@ class Context:
         # the rest of the text is a match too, or each of its places would be searched to the end; it is cut off
         gaps = F.regexp_extract_all(self.latin, F.lit(f"(?s)(.*?)(?:(?={regex_of(p)}){ANY_BYTE}|\\z)"), F.lit(1))
         gaps = F.slice(gaps, F.lit(1), self.count(p).cast("int"))
-        return F.aggregate(gaps, F.array().cast("array<bigint>"), lambda a, g: F.array_append(a, F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1) + 1, F.lit(0).cast("long")) + F.length(g)))
+        return running(F.transform(gaps, lambda g: F.length(g).cast("long") + 1), lambda x: x - 1)
 
     def lengths(self, p: Pattern) -> Column:
         return F.transform(self.matches(p), lambda x: F.length(x).cast("long"))
@@ -184,7 +230,10 @@ class Compiler:
             at = restriction[1]
             if at == ("lit", 0):
                 return self.c.latin.rlike(rf"\A(?:{regex_of(p)})")
-            return F.array_contains(self.c.offsets(p), self.column(at).cast("long"))
+            # the place itself with at most two bytes before it, at which a word boundary looks
+            start = self.column(at).cast("long")
+            test = lambda n: F.substring(self.c.latin, (start - n + 1).cast("int"), F.lit(2**31 - 1)).rlike(rf"(?s)\A.{{{n}}}(?:{regex_of(p)})")
+            return F.when(start >= 2, test(2)).when(start == 1, test(1)).when(start == 0, test(0)).otherwise(False)
         low, high = self.column(restriction[1]), self.column(restriction[2])
         return F.exists(self.c.offsets(p), lambda o: o.between(low, high))
 
@@ -503,17 +552,60 @@ def _spans(context: Context, p: Pattern) -> Column:
     return F.zip_with(context.offsets(p), context.matches(p), lambda o, x: F.struct(F.lit("$" + p.sid).alias("identifier"), o.alias("offset"), F.encode(x, "ISO-8859-1").alias("data")))
 
 
-def many_literals(blobs: DataFrame, literals: DataFrame, data: str = "text", grams: int = 4) -> DataFrame:
-    """(blob columns, sid): literals found in texts, for literal sets too large for columns.
+#: Literals that are tested one by one in the JVM, and characters of literals in one automaton.
+FEW_LITERALS, AUTOMATON_CHARS = 64, 8_000_000
 
-    Each literal is looked up by its first gram of characters in the distinct grams of the texts, an equi-join;
-    candidates are then verified.  Literals shorter than a gram are compared in a broadcast of at most
-    the number of short strings that there can be.
-    """
-    long = literals.filter(F.length("value") >= grams).withColumn("gram", F.substring("value", 1, grams))
-    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(data) - (grams - 1), F.lit(1))), lambda i: F.substring(F.col(data), i, F.lit(grams))))
-    texts = blobs.withColumn("gram", F.explode_outer(cut))
-    found = texts.join(long, "gram").filter(F.contains(F.col(data), F.col("value"))).drop("gram")
-    short = literals.filter((F.length("value") < grams) & (F.length("value") > 0))
-    return found.unionByName(blobs.join(short, F.contains(F.col(data), F.col("value"))))
 
+def many_literals(blobs: DataFrame, literals: DataFrame, data: str = "text", few: int = FEW_LITERALS, most: int = AUTOMATON_CHARS) -> DataFrame:
+    """(blob columns, literal columns): the distinct literals of column `value` that a text holds, for sets too large for a condition.
+
+    No text is shuffled.  A few literals are tested in the JVM.  More are looked up in one pass over each
+    text by an automaton of at most `most` characters; larger sets go in several automata, a pass each.
+    Null and empty literals and null texts match nothing.
+    """
+    spark = blobs.sparkSession
+    wanted = literals.filter(F.length("value") > 0)
+    parts: list[list[str]] = [[]]
+    size = 0
+    for row in wanted.select("value").distinct().toLocalIterator():
+        if parts[-1] and size + len(row["value"]) > most:
+            parts.append([])
+            size = 0
+        parts[-1].append(row["value"])
+        size += len(row["value"])
+    text = F.col(data).cast("string")
+    if len(parts) == 1 and len(parts[0]) <= few:
+        every = F.array(*map(F.lit, parts[0])) if parts[0] else F.array().cast("array<string>")
+        found = blobs.withColumn("value", F.explode(F.filter(every, lambda v: F.contains(text, v))))
+    else:
+        found = reduce(DataFrame.unionByName, [_automaton(blobs, spark.sparkContext.broadcast(p), data) for p in parts])
+    if literals.columns == ["value"]:
+        return found
+    return found.join(wanted, "value").select(*[found[c] for c in found.columns], *[c for c in literals.columns if c != "value"])
+
+
+def _automaton(blobs: DataFrame, shared, data: str) -> DataFrame:
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    at = blobs.columns.index(data)
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for word in shared.value:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, values = [], []
+            for k, text in enumerate(batch.column(at).cast(pa.string())):
+                if (t := text.as_py()) is not None:
+                    found = {word for _, word in automaton.iter(t)}
+                    rows += [k] * len(found)
+                    values += found
+            for a in range(0, len(rows), 4096):
+                part = batch.take(pa.array(rows[a : a + 4096], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values[a : a + 4096], pa.string())], [*batch.schema.names, "value"])
+
+    return blobs.mapInArrow(run, StructType([*blobs.schema.fields, StructField("value", StringType())]))
