@@ -113,8 +113,9 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte statistics of every document."""
     from rulespark.functions import modules as M
 
-    t = texts(spark, sf_dir).select("doc_id", F.decode("data", "ISO-8859-1").alias("s"))
-    return t.select("doc_id", F.round(M.entropy(F.col("s")), 6).alias("entropy"), F.round(M.mean(F.col("s")), 6).alias("mean"), F.round(M.deviation(F.col("s"), F.lit(127.5)), 6).alias("deviation"))
+    t = texts(spark, sf_dir).select("doc_id", M.counted(F.decode("data", "ISO-8859-1")).alias("h"))
+    h = F.struct(F.round(M.entropy_of(F.col("h")), 6).alias("entropy"), F.round(M.mean_of(F.col("h")), 6).alias("mean"), F.round(M.deviation_of(F.col("h"), F.lit(127.5)), 6).alias("deviation"))
+    return t.select("doc_id", h.alias("x")).select("doc_id", "x.*")
 
 
 QUERIES["m_entropy_mean_deviation"] = statistics

@@ -1,10 +1,11 @@
 """Functions of the modules that conditions may call, over the bytes of a blob as a latin-1 string.
 
-Byte statistics come from a histogram made of 256 deletions, which the JVM does at the speed of a byte scan.
+Byte statistics come from a histogram: numpy over Arrow batches, or in loops a deletion for each distinct byte.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,7 +51,13 @@ def shift(a: Column, n: Column, left: bool) -> Column:
 
 
 def histogram(s: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: (F.length(s) - F.length(F.replace(s, F.char(b), F.lit("")))).cast("long"))
+    """(b, n) of each byte that occurs, in order of first places; a scan for each distinct byte."""
+
+    def of(s: Column) -> Column:
+        distinct = F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))
+        return F.transform(distinct, lambda c: F.struct(F.ascii(c).alias("b"), (F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("long").alias("n")))
+
+    return let(s, of)  # or the text would be decoded again for each byte
 
 
 def codes(s: Column) -> Column:
@@ -62,31 +69,90 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
 
 
+def total_of(h: Column) -> Column:
+    return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+
+
+def entropy_of(h: Column) -> Column:
+    return F.when(F.size(h) > 0, let(total_of(h), lambda t: F.abs(_sum(F.transform(h, lambda x: -(x["n"] / t) * F.log2(x["n"] / t))))))
+
+
+def mean_of(h: Column) -> Column:
+    return F.when(F.size(h) > 0, _sum(F.transform(h, lambda x: x["n"] * x["b"].cast("double"))) / total_of(h))
+
+
+def deviation_of(h: Column, around: Column) -> Column:
+    return F.when(F.size(h) > 0, _sum(F.transform(h, lambda x: x["n"] * F.abs(x["b"].cast("double") - around))) / total_of(h))
+
+
 def entropy(s: Column) -> Column:
-    n = F.length(s)
-    share = lambda h: h / n
-    return F.when(n > 0, F.abs(_sum(F.transform(histogram(s), lambda h: F.when(h > 0, -share(h) * F.log2(share(h))).otherwise(0.0)))))
+    return let(histogram(s), entropy_of)
 
 
 def mean(s: Column) -> Column:
-    return F.when(F.length(s) > 0, _sum(F.transform(histogram(s), lambda h, b: h * b.cast("double"))) / F.length(s))
+    return let(histogram(s), mean_of)
 
 
 def deviation(s: Column, around: Column) -> Column:
-    return F.when(F.length(s) > 0, _sum(F.transform(histogram(s), lambda h, b: h * F.abs(b.cast("double") - around))) / F.length(s))
+    return let(histogram(s), lambda h: deviation_of(h, around))
 
 
-def mode(s: Column) -> Column:
+def mode_of(h: Column) -> Column:
     """The most frequent byte, the smallest of several."""
-    return F.when(F.length(s) > 0, let(histogram(s), lambda h: (F.array_position(h, F.array_max(h)) - 1).cast("long")))
+    return F.array_min(F.transform(h, lambda x: F.struct((-x["n"]).alias("n"), x["b"].cast("long").alias("b"))))["b"]
+
+
+def mode(s: Column) -> Column:
+    return mode_of(histogram(s))
+
+
+def counted(s: Column) -> Column:
+    """(b, n) of each byte that occurs, by numpy over Arrow batches: some ten times as fast as a scan for each byte.
+
+    Not inside a lambda, where Spark takes no such function."""
+    from pyspark.sql.functions import pandas_udf
+
+    global _COUNTER
+    if _COUNTER is None:
+
+        @pandas_udf("array<struct<b:int,n:bigint>>")
+        def counter(blobs: pd.Series) -> pd.Series:
+            import numpy as np
+
+            def one(blob):
+                if blob is None:
+                    return None
+                counts = np.bincount(np.frombuffer(blob, np.uint8), minlength=256)
+                return [{"b": int(b), "n": int(counts[b])} for b in np.flatnonzero(counts)]
+
+            return blobs.map(one)
+
+        _COUNTER = counter
+    return _COUNTER(raw(s))
+
+
+_COUNTER = None
+
+
+def statistic(of, native):
+    """A byte statistic from the histogram; inside a loop over variables the JVM's own."""
+
+    def call(context, s: Column, *more: Column) -> Column:
+        return native(s, *more) if context.env else of(counted(s), *more)
+
+    return call
 
 
 def count(s: Column, byte: Column) -> Column:
     return (F.length(s) - F.length(F.replace(s, F.char(byte), F.lit("")))).cast("long")
 
 
+def checksum32_of(h: Column) -> Column:
+    return F.pmod(_sum(F.transform(h, lambda x: x["n"] * x["b"].cast("double"))).cast("long"), F.lit(1 << 32))
+
+
 def checksum32(s: Column) -> Column:
-    return F.pmod(_sum(F.transform(histogram(s), lambda h, b: h * b.cast("double"))).cast("long"), F.lit(1 << 32))
+    return checksum32_of(histogram(s))
 
 
 def serial_correlation(s: Column) -> Column:
@@ -141,7 +207,7 @@ def on_bytes(f):
 
     def call(context, args, more=()):
         s = args[0][0] if len(args) == 1 else part(context.latin, args[0][0], args[1][0])
-        return f(s, *more)
+        return f(context, s, *more) if getattr(f, "__name__", "") == "call" else f(s, *more)
 
     return call
 
@@ -154,19 +220,19 @@ MODULES = {
     "math.to_number": (lambda c, a: a[0][0].cast("long"), "int"),
     "math.to_string": (lambda c, a: F.lower(F.conv(a[0][0].cast("string"), 10, 10 if len(a) == 1 else a[1][2])), "string"),
     "math.in_range": (lambda c, a: a[0][0].between(a[1][0], a[2][0]).cast("long"), "int"),
-    "math.entropy": (lambda c, a: on_bytes(entropy)(c, a), "float"),
-    "math.mean": (lambda c, a: on_bytes(mean)(c, a), "float"),
-    "math.deviation": (lambda c, a: on_bytes(deviation)(c, a[:-1], (a[-1][0],)), "float"),
+    "math.entropy": (lambda c, a: on_bytes(statistic(entropy_of, entropy))(c, a), "float"),
+    "math.mean": (lambda c, a: on_bytes(statistic(mean_of, mean))(c, a), "float"),
+    "math.deviation": (lambda c, a: on_bytes(statistic(deviation_of, deviation))(c, a[:-1], (a[-1][0],)), "float"),
     "math.serial_correlation": (lambda c, a: on_bytes(serial_correlation)(c, a), "float"),
     "math.monte_carlo_pi": (lambda c, a: on_bytes(monte_carlo_pi)(c, a), "float"),
-    "math.mode": (lambda c, a: on_bytes(mode)(c, a) if a else mode(c.latin), "int"),
+    "math.mode": (lambda c, a: on_bytes(statistic(mode_of, mode))(c, a) if a else statistic(mode_of, mode)(c, c.latin), "int"),
     "math.count": (lambda c, a: count(c.latin if len(a) == 1 else part(c.latin, a[1][0], a[2][0]), a[0][0]), "int"),
     "math.percentage": (lambda c, a: (lambda s: count(s, a[0][0]) / F.nullif(F.length(s), F.lit(0)))(c.latin if len(a) == 1 else part(c.latin, a[1][0], a[2][0])), "float"),
     "hash.md5": (lambda c, a: on_bytes(lambda s: F.md5(raw(s)))(c, a), "string"),
     "hash.sha1": (lambda c, a: on_bytes(lambda s: F.sha1(raw(s)))(c, a), "string"),
     "hash.sha256": (lambda c, a: on_bytes(lambda s: F.sha2(raw(s), 256))(c, a), "string"),
     "hash.crc32": (lambda c, a: on_bytes(lambda s: F.crc32(raw(s)))(c, a), "int"),
-    "hash.checksum32": (lambda c, a: on_bytes(checksum32)(c, a), "int"),
+    "hash.checksum32": (lambda c, a: on_bytes(statistic(checksum32_of, checksum32))(c, a), "int"),
     "string.length": (lambda c, a: F.length(a[0][0]).cast("long"), "int"),
     "string.to_int": (lambda c, a: a[0][0].try_cast("long") if len(a) == 1 else F.conv(a[0][0], a[1][2], 10).try_cast("long"), "int"),
     "time.now": (lambda c, a: F.unix_seconds(F.current_timestamp()), "int"),

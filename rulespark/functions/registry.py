@@ -16,13 +16,27 @@ def ip_number(ip: Column) -> Column:
     return F.when(valid, number)
 
 
+def ip6_hex(ip: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits; null if it is none."""
+    halves = F.split(F.lower(ip), "::")
+    groups = lambda c: F.filter(F.split(c, ":"), lambda x: x != "")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    n = F.size(left) + F.size(right)
+    middle = F.repeat(F.lit("0000"), F.greatest(F.lit(8) - n, F.lit(0)))
+    text = lambda g: F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")
+    valid = ip.rlike(r"^[0-9A-Fa-f:]{2,39}$") & ~ip.rlike(r"[0-9A-Fa-f]{5}|:::|^:[^:]|[^:]:$") & (F.size(halves) <= 2) & F.when(F.size(halves) == 2, n <= 7).otherwise(n == 8)
+    return F.when(valid, F.concat(text(left), middle, text(right)))
+
+
 def in_cidr(ip: Column, cidr: str) -> Column:
+    """Whether an address lies in a network; addresses of the other family, and texts that are none, give null."""
     import ipaddress
 
     net = ipaddress.ip_network(cidr, strict=False)
-    if net.version != 4:
-        raise ValueError("IPv6 networks are not supported")
-    return ip_number(ip).between(int(net.network_address), int(net.broadcast_address))
+    low, high = int(net.network_address), int(net.broadcast_address)
+    if net.version == 6:
+        return ip6_hex(ip).between(f"{low:032x}", f"{high:032x}")
+    return ip_number(ip).between(low, high)
 
 
 def literal(c) -> str:

@@ -303,7 +303,21 @@ class Compiler:
             for a, b in self.followed:
                 if {a, b} <= {*have, name} and name in (a, b):
                     on.append(ts(a) < ts(b))
-            rows = rows.join(sources[name], reduce(lambda x, y: x & y, on) if on else F.lit(True), kind)
+            right, spare = sources[name], []
+            if rule.match and w.anchor and kind == "inner" and (w.anchor[1] in have or w.anchor[1] == name):
+                # an interval of length w touches two slots of length w: the anchor goes to both, so time is an equi-join key
+                slot = lambda v: F.floor(F.unix_micros(ts(v)) / (w.seconds * 1_000_000))
+                step = 1 if w.anchor[0] == "after" else -1
+                both = lambda v: F.explode(F.array(slot(v), slot(v) + step))
+                spare = ["_slot_left", "_slot_right"]
+                if w.anchor[1] == name:
+                    rows, right = rows.withColumn(spare[0], slot(have[0])), right.withColumn(spare[1], both(name))
+                else:
+                    rows, right = rows.withColumn(spare[0], both(w.anchor[1])), right.withColumn(spare[1], slot(name))
+                on.append(F.col(spare[0]) == F.col(spare[1]))
+            if not on:
+                raise RuleError(f"rule {rule.name}: nothing ties ${name} to the other events")
+            rows = rows.join(right, reduce(lambda x, y: x & y, on), kind).drop(*spare)
             have.append(name)
         rows, rest = self.with_lists(rows, cross, self.joined)
         for node in rest:

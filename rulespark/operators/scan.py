@@ -494,6 +494,17 @@ def order(rules: list[PatternRule]) -> list[PatternRule]:
     return list(done.values())
 
 
+def names_in(rule: PatternRule) -> list[str]:
+    """Names in a condition that may be rules, with a star where a set has one."""
+    out: dict[str, None] = {}
+    for n in walk(rule.condition):
+        if n[0] == "id" and n[1] != rule.name:
+            out[n[1]] = None
+        if n[0] == "of" and n[2] != "them":
+            out |= {x[1]: None for x in n[2] if isinstance(x, tuple) and x[0] == "rule"}
+    return list(out)
+
+
 def references(rule: PatternRule, names) -> list[str]:
     """Names of rules in a condition."""
     out: dict[str, None] = {}
