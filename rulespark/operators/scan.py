@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulespark.functions import binaries as B
 from rulespark.functions import modules as M
 from rulespark.plans.lexer import RuleError
 from rulespark.plans.pattern_rule import Pattern, PatternRule, RuleFile, parse, walk
@@ -154,6 +155,7 @@ class Context:
     externals: dict = field(default_factory=dict)
     rules: dict = field(default_factory=dict)  # name -> Column
     env: dict = field(default_factory=dict)  # loop and with variables: name -> (Column, kind)
+    modules: dict = field(default_factory=dict)  # name -> struct read from the bytes
 
     def found(self, p: Pattern) -> Column:
         if p.kind == "plain" and not set(p.modifiers) - {"ascii", "private"}:
@@ -393,6 +395,9 @@ class Compiler:
             path = self.dotted(node)
             if path in M.CONSTANTS:
                 return F.lit(M.CONSTANTS[path]), "float"
+            module, _, rest = path.partition(".")
+            if rest in B.CONSTANTS.get(module, ()):
+                return F.lit(B.CONSTANTS[module][rest]).cast("long"), "int"
             if path in c.externals:
                 return self.name(path)
             return self.column(node[1])[node[2]], "unknown"
@@ -423,8 +428,19 @@ class Compiler:
         if name in c.externals:
             v = c.externals[name]
             return (v, "unknown") if isinstance(v, Column) else self.value(("lit", v))
+        if name in B.FROM_BYTES:
+            return self.module(name), "unknown"
         raise RuleError(f"rule {self.rule.name}: unknown name {name}")
 
+    def module(self, name: str) -> Column:
+        """The struct of a module: the caller's own, or the one that is read from the bytes."""
+        c = self.c
+        if name in c.externals:
+            return c.externals[name]
+        if name not in B.FROM_BYTES:
+            raise RuleError(f"rule {self.rule.name}: no column for the module {name}")
+        return c.modules.setdefault(name, B.FROM_BYTES[name](c.data))
+
     def dotted(self, node) -> str:
         return node[1] if node[0] == "id" else f"{self.dotted(node[1])}.{node[2]}" if node[0] == "member" else ""
 
@@ -436,6 +452,15 @@ class Compiler:
         if name == "len":
             x, k, *_ = self.value(args[0])
             return (F.length(x) if k == "string" else F.size(x)).cast("long"), "int"
+        if name in B.FUNCTIONS:
+            build, kind = B.FUNCTIONS[name]
+            declared = B.DECLARED.get(name.partition(".")[0])
+            if declared:
+                _, least, most = declared.functions[name.partition(".")[2]]
+                if len(args) < least or most is not None and len(args) > most:
+                    raise RuleError(f"rule {self.rule.name}: {name} takes {least} arguments" + (f" to {most}" if most != least else ""))
+            values = [(F.lit(a[1]), "regex", a[1]) if a[0] == "regex" else self.value(a) for a in args]
+            return build(self.module(name.partition(".")[0]), values), kind
         if name not in M.MODULES:
             raise RuleError(f"rule {self.rule.name}: unknown function {name}")
         build, kind = M.MODULES[name]
