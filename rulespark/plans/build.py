@@ -58,15 +58,17 @@ class Rule:
     def regex(self, sid: str, pattern: str, flags: str = "", **modifiers) -> Rule:
         return self._string(sid, "regex", (pattern, flags), modifiers)
 
-    def hex(self, sid: str, tokens: str, **modifiers) -> Rule:
-        return self._string(sid, "hex", hex_tokens(tokens), modifiers)
+    def hex(self, sid: str, tokens, **modifiers) -> Rule:
+        """Tokens as text or as a `Hex` of `plans.expressions`."""
+        return self._string(sid, "hex", hex_tokens(tokens if isinstance(tokens, str) else tokens.text()), modifiers)
 
     def preset(self, sid: str, name: str) -> Rule:
         kind, value = PRESETS[name]
         return getattr(self, kind)(sid, value)
 
-    def where(self, text: str) -> Rule:
-        self.rule.condition = condition(text)
+    def where(self, text) -> Rule:
+        """The condition, as text or as an expression of `plans.expressions`."""
+        self.rule.condition = condition(str(text))
         return self
 
     def done(self) -> PatternRule:
