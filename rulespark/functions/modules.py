@@ -74,7 +74,9 @@ def total_of(h: Column) -> Column:
 
 
 def entropy_of(h: Column) -> Column:
-    return F.when(F.size(h) > 0, let(total_of(h), lambda t: F.abs(_sum(F.transform(h, lambda x: -(x["n"] / t) * F.log2(x["n"] / t))))))
+    # log2(t) - sum(n log2 n) / t: the histogram stands in no lambda, where a Python function may not
+    weighted = _sum(F.transform(h, lambda x: x["n"] * F.log2(x["n"])))
+    return F.when(F.size(h) > 0, F.abs(F.log2(total_of(h)) - weighted / total_of(h)))
 
 
 def mean_of(h: Column) -> Column:

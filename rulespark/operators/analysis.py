@@ -207,7 +207,7 @@ def find_rule(parsed: DataFrame, name: str) -> DataFrame:
 def workspace_report(parsed: DataFrame) -> DataFrame:
     """One row: files, rules, rules that cannot be read, names in several files."""
     conflicts = C.name_conflicts(parsed.filter("error is null")).agg(F.count("*").alias("n_conflicts"))
-    return parsed.agg(F.count_distinct("path").alias("n_files"), F.count_if("error is null").alias("n_rules"), F.count_if("error is not null").alias("n_errors")).crossJoin(conflicts)
+    return parsed.agg(F.count_distinct("path").alias("n_files"), F.count_if(F.col("error").isNull()).alias("n_rules"), F.count_if(F.col("error").isNotNull()).alias("n_errors")).crossJoin(conflicts)
 
 
 # Diffs
