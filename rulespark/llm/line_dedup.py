@@ -1,14 +1,16 @@
-"""Line deduplication by prefix doubling over line-ID sequences, in built-in expressions only.
+"""Line deduplication by a suffix array over line-ID sequences, in built-in expressions only.
 
-The text of a document is its sequence of line IDs (64-bit hashes of the non-blank lines).  Prefix doubling
-names every block of 2^k lines by the pair of names of its halves, so two overlapping names stand for a run of
-any length.  Suffixes that share such a name for the first L lines are the suffixes of one
-longest-common-prefix interval at depth L; its smallest document id is the first copy.
+The text of a document is its sequence of line IDs (64-bit hashes of the non-blank lines).  Distributed prefix doubling
+sorts the suffixes: level 0 ranks them by their first line, and level k + 1 by the pair of the level-k ranks of a
+suffix and of the one 2^k lines on, so that a rank of level k gives the place of its first 2^k lines among all.  Pairs are
+counted before they are sorted (a frequent one is one row), and a suffix whose pair is unique leaves: nothing shares
+its next lines.  Suffixes that agree in their first d lines, so whose ranks of the greatest power of two within d agree at
+the front and at the back of them, are the longest-common-prefix interval of depth d; its members are the places of
+one repeated run, and the smallest document id has the first copy.
 
-A later copy of a repeated run is deleted if the run has at least `min_words` words.  Every such run is the
-union of the shortest qualifying runs that start or end at one of its lines, so only those (at most two for
-each line) are named and counted: the work is linear in the lines, whatever the length of the repeats.
-Names take the place of sorted ranks, since only membership in an interval is used, never the order.
+A later copy of a repeated run is deleted if the run has at least `min_words` words.  A maximal run of that size is
+the union of the shortest runs of `min_words` words that start or end at one of its lines, so depths beyond
+`min_words` lines are never needed, whatever the length of the repeats.
 
 Defined cases: null and empty texts have no line and come back as they are; blank lines are never counted and
 never deleted; within a document the first copy stays; rows with equal ids count as one document and keep
@@ -19,87 +21,114 @@ empty table.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, id_key, read, stored, text_of
+from .common import SPACE, SPACE_CHARS, drop, id_key, read, stored, text_of
 
 MIN_WORDS = 50
+#: Documents with deletions whose places may be broadcast, and places of them all.
+BROADCAST_DOCS, BROADCAST_PLACES = 250_000, 5_000_000
+PLACE = ["k1", "k2", "pos"]
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _double(names: Column, half: Column) -> Column:
-    """Names of blocks of twice `half` lines from those of `half` lines."""
-    n = F.size(names) - half
-    return F.when(n > 0, F.zip_with(F.slice(names, 1, n), F.slice(names, half + 1, n), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
-
-
-def _levels(ids: Column, depth: Column) -> Column:
-    """Arrays of names by level: level k names the blocks of 2^k lines."""
-    more = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(more, F.array(ids), lambda acc, k: F.concat(acc, F.array(_double(F.element_at(acc, -1), F.call_function("shiftleft", F.lit(1), k - 1)))))
-
-
 def _shortest(counts: Column, min_words: int) -> Column:
     """How many of the first entries reach min_words together; null if all do not."""
     reach = F.aggregate(counts, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), lambda a, c: F.when(a["sum"] >= min_words, a).otherwise(F.struct((a["sum"] + c).alias("sum"), (a["n"] + 1).alias("n"))))
     return _let(reach, lambda r: F.when(r["sum"] >= min_words, r["n"]))
 
 
-def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k1, k2, start, lines, name1, name2, again): the shortest runs of min_words words from and to every line.
-
-    Places count non-blank lines from 0; `again` says that the run stands earlier in its own text.
-    """
+def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(k1, k2, pos, id, ahead, back): the non-blank lines, counted from 0, with the lines of the shortest runs of
+    min_words words from it and to it (null if there is none)."""
     t = text_of(docs)
     most = F.lit(min_words)  # each line has a word, so no shortest run has more lines
     lines = F.filter(F.transform(F.split(t, "\n", -1), lambda x: F.struct(x.alias("x"), F.btrim(x, F.lit(SPACE_CHARS)).alias("y"))), lambda s: s["y"] != "")
     rows = docs.select(id_key().alias("k1"), F.xxhash64(t).alias("k2"), F.transform(lines, lambda s: F.struct(F.xxhash64(s["x"]).alias("id"), F.size(F.split(s["y"], SPACE)).alias("n"))).alias("lines"))
-    # no filter on sizes here: the optimiser would compute lines and spans once more for it
-    rows = rows.select("k1", "k2", F.col("lines.id").alias("ids"), F.col("lines.n").alias("counts"))
-    spans = _let(F.col("counts"), lambda c: F.array_distinct(F.flatten(F.transform(F.slice(F.sequence(F.lit(0), F.size(c)), F.lit(1), F.size(c)), lambda i: F.filter(F.array(
-        F.struct(i.alias("s"), _shortest(F.slice(c, i + 1, most), min_words).alias("l")),
-        _let(_shortest(F.reverse(F.slice(c, F.greatest(i + 2 - most, F.lit(1)), F.least(i + 1, most))), min_words), lambda n: F.struct((i + 1 - n).alias("s"), n.alias("l"))),
-    ), lambda x: x["l"].isNotNull())))))
-    rows = rows.select("k1", "k2", "ids", spans.alias("spans"))
-    rows = rows.withColumn("depth", F.floor(F.log2(F.array_max("spans.l"))).cast("int"))
-    rows = rows.select("k1", "k2", "spans", _levels(F.col("ids"), F.col("depth")).alias("levels"))
-
-    def named(levels: Column, s: Column) -> Column:
-        return _let(F.floor(F.log2(s["l"])).cast("int"), lambda k: _let(F.get(levels, k), lambda names: F.struct(
-            s["l"].alias("lines"), F.get(names, s["s"]).alias("name1"), F.get(names, s["s"] + s["l"] - F.call_function("shiftleft", F.lit(1), k)).alias("name2"), s["s"].alias("start"))))
-
-    rows = rows.select("k1", "k2", _let(F.col("levels"), lambda levels: F.sort_array(F.transform("spans", lambda s: named(levels, s)))).alias("runs"))
-    nothing = F.array(F.struct(F.lit(0).alias("lines"), F.lit(0).cast("long").alias("name1"), F.lit(0).cast("long").alias("name2"), F.lit(0).alias("start")))
-    rows = rows.select("k1", "k2", _let(F.col("runs"), lambda r: F.zip_with(r, F.concat(nothing, F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))), lambda x, y: F.struct(
-        x.alias("run"), ((x["lines"] == y["lines"]) & (x["name1"] == y["name1"]) & (x["name2"] == y["name2"])).alias("again")))).alias("runs"))
-    # the outer form: explode would have the optimiser compute the runs a second time, for a filter on their number
-    return rows.select("k1", "k2", F.explode_outer("runs").alias("r")).filter("r is not null").select("k1", "k2", "r.run.*", "r.again")
+    ahead = lambda c, i: _shortest(F.slice(c, i + 1, most), min_words)
+    back = lambda c, i: _shortest(F.reverse(F.slice(c, F.greatest(i + 2 - most, F.lit(1)), F.least(i + 1, most))), min_words)
+    every = _let(F.col("lines.n"), lambda c: F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x["id"].alias("id"), ahead(c, i).alias("ahead"), back(c, i).alias("back"))))
+    # the outer form: explode would have the optimiser compute the lines a second time, for a filter on their number
+    return rows.select("k1", "k2", F.explode_outer(every).alias("x")).filter("x is not null").select("k1", "k2", "x.*")
+
+
+def ranked(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """Rows whose keys occur again, with `rank`: a number that grows with the keys, equal for equal ones; stored.
+
+    The keys are counted first, so what is sorted is one row for each, however frequent; the numbers are fixed by being
+    stored.
+    """
+    again = rows.groupBy(*keys).agg(F.count("*").alias("times")).filter("times > 1").select(*keys)
+    order = stored(again.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), tag + "-ranks")
+    out = stored(rows.join(order, keys).drop(*keys), tag)
+    drop(order)
+    return out
+
+
+def named_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(k1, k2, start, lines, name1, name2): the shortest runs of min_words words whose lines all occur again; stored.
+
+    Runs with the same number of lines and the same names are one LCP interval.
+    """
+    level = ranked(lines_of(docs, min_words), ["id"], "suffixes")
+    first = level
+    run = lambda start, lines: first.select("k1", "k2", start.cast("int").alias("start"), F.col(lines).alias("lines")).filter(F.col("lines").isNotNull())
+    runs = stored(run(F.col("pos"), "ahead").union(run(F.col("pos") - F.col("back") + 1, "back")).distinct(), "runs")
+    longest = runs.agg(F.max("lines")).first()[0] or 0
+    parts, width = [], 1
+    while width <= longest:
+        ranks = level.select(*PLACE, "rank")
+        front = ranks.select("k1", "k2", F.col("pos").alias("start"), F.col("rank").alias("name1"))
+        end = ranks.select("k1", "k2", (F.col("pos") + width).alias("stop"), F.col("rank").alias("name2"))
+        own = runs.filter((F.col("lines") >= width) & (F.col("lines") < 2 * width)).join(front, ["k1", "k2", "start"]).withColumn("stop", F.col("start") + F.col("lines")).join(end, ["k1", "k2", "stop"])
+        parts.append(stored(own.select("k1", "k2", "start", "lines", "name1", "name2"), "named-runs"))
+        width *= 2
+        if width <= longest:
+            later = ranks.select("k1", "k2", (F.col("pos") - width // 2).alias("pos"), F.col("rank").alias("r2"))
+            level = ranked(ranks.withColumnRenamed("rank", "r1").join(later, PLACE), ["r1", "r2"], "suffixes")
+    if not parts:
+        return runs.select("k1", "k2", "start", "lines", F.lit(0).cast("long").alias("name1"), F.lit(0).cast("long").alias("name2"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k1, k2, gone): the places of the lines that are later copies, for documents that have any."""
-    found = stored(runs(docs, min_words), "line-runs")
+    """(k1, k2, gone): the places of the lines that are later copies, for documents that have any; stored."""
     name = ["lines", "name1", "name2"]
+    found = named_runs(docs, min_words)
+    # a run that stands earlier in its own text
+    found = found.withColumn("again", F.col("start") > F.min("start").over(W.partitionBy(*name, "k1", "k2")))
     first = found.groupBy(*name).agg(F.min("k1").alias("first"), F.max("k1").alias("last"), F.max("again").alias("twice")).filter("first < last or twice")
     late = found.join(first, name).filter((F.col("k1") > F.col("first")) | F.col("again"))
     spans = late.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "lines")).alias("spans"))
     every = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["lines"] - 1)))
-    return spans.select("k1", "k2", F.array_sort(F.array_distinct(every)).alias("gone"))
+    return stored(spans.select("k1", "k2", F.array_sort(F.array_distinct(every)).alias("gone")), "later-copies")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Each row of `docs` as struct `row`, with n_lines, n_deleted, new `text` (null stays null)."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"), id_key().alias("k1"), F.xxhash64(text_of(docs)).alias("k2"))
-    rows = rows.join(later_copies(docs, min_words), ["k1", "k2"], "left")
-    blank = lambda x: F.btrim(x, F.lit(SPACE_CHARS)) == ""
+    gone = later_copies(docs, min_words)
+    size = gone.agg(F.count("*").alias("docs"), F.sum(F.size("gone")).alias("places")).first()
+    few = size["docs"] <= BROADCAST_DOCS and (size["places"] or 0) <= BROADCAST_PLACES  # else the texts are shuffled
+    rows = rows.join(F.broadcast(gone) if few else gone, ["k1", "k2"], "left")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    # places count non-blank lines: number them, blank ones get -1
-    numbered = F.aggregate(split, F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")), lambda a, x: F.when(blank(x), F.struct(a["n"].alias("n"), F.array_append(a["kept"], x).alias("kept"))).otherwise(
-        F.struct((a["n"] + 1).alias("n"), F.when(F.array_contains("gone", a["n"]), a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept"))), lambda a: F.array_join(a["kept"], "\n"))
-    return rows.select("row", F.size(F.filter(split, lambda x: ~blank(x))).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(numbered).alias("text"))
+    blank = lambda x: F.btrim(x, F.lit(SPACE_CHARS)) == ""
+
+    def cleaned(every: Column) -> Column:
+        # places count non-blank lines; those that stay are the difference of two sets of indices
+        shown = F.filter(F.transform(every, lambda x, i: F.when(~blank(x), i)), lambda i: i.isNotNull())
+        out = _let(shown, lambda at: F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.transform("gone", lambda p: F.get(at, p))))
+        return F.array_join(F.transform(out, lambda i: F.get(every, i)), "\n")
+
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_let(split, cleaned))
+    return rows.select("row", F.size(F.filter(split, lambda x: ~blank(x))).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"), text.alias("text"))
 
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -74,6 +74,52 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.clean(empty).count() == 0
 
 
+def test_line_dedup_against_maximal_runs(spark):
+    """Deleted are the lines of every maximal run of 50 words or more that stands earlier, found by comparing all places."""
+    import random
+
+    draw = random.Random(8)
+    lines = [" ".join(f"w{draw.randint(0, 99)}" for _ in range(draw.choice([1, 5, 12, 20, 55]))) for _ in range(14)]
+    docs = {}
+    for k in range(40):
+        own = [draw.choice(lines) if draw.random() < 0.75 else f"own {k} {j}" for j in range(draw.randint(0, 14))]
+        if k % 3 == 0 and docs:
+            own += draw.choice(list(docs.values()))[:8]
+        docs[k] = [x for y in own for x in ([y, ""] if draw.random() < 0.2 else [y])]
+    docs[50], docs[51] = [lines[0]] * 30, [lines[0]] * 7
+    want = {}
+    shown = {k: [x for x in v if x.strip()] for k, v in docs.items()}
+    for k, v in shown.items():
+        gone = set()
+        for i in range(len(v)):
+            for m, u in shown.items():
+                for j in range(len(u)):
+                    if m < k or m == k and j < i:
+                        n = 0
+                        while i + n < len(v) and j + n < len(u) and v[i + n] == u[j + n]:
+                            n += 1
+                        if sum(len(x.split()) for x in v[i : i + n]) >= 50:
+                            gone |= set(range(i, i + n))
+        places = [p for p, x in enumerate(docs[k]) if x.strip()]
+        drop = {places[p] for p in gone}
+        want[k] = (len(gone), "\n".join(x for p, x in enumerate(docs[k]) if p not in drop))
+    df = spark.createDataFrame([(k, "\n".join(v)) for k, v in docs.items()], "doc_id long, text string").repartition(5)
+    for places in (5_000_000, 0):  # broadcast, shuffle
+        line_dedup.BROADCAST_PLACES = places
+        got = {r["doc_id"]: (r["n_deleted"], r["text"]) for r in line_dedup.dedup(df).select("row.doc_id", "n_deleted", "text").collect()}
+        assert got == want
+    line_dedup.BROADCAST_PLACES = 5_000_000
+    assert sum(n for n, _ in want.values()) > 40
+
+
+def test_suffix_ranks_are_in_order(spark):
+    rows = spark.createDataFrame([(k, 0, k, k % 7, 3 * k % 5) for k in range(60)] + [(99, 0, 0, 50, 50)], "k1 long, k2 long, pos int, a long, b long")
+    got = line_dedup.ranked(rows.withColumns({"x": F.col("a"), "y": F.col("b")}), ["a", "b"], "t").collect()
+    assert len({r["k1"] for r in got}) == 50  # pairs that come once are left out
+    by = sorted({(r["x"], r["y"], r["rank"]) for r in got})
+    assert [x[2] for x in by] == sorted(x[2] for x in by) and len({x[:2] for x in by}) == len(by)
+
+
 def test_sharding(odd, empty):
     rows = sharding.shuffle(odd, shards=3, bucket_bytes=200).collect()
     assert len(rows) == odd.count()
