@@ -540,7 +540,7 @@ def references(rule: PatternRule, names) -> list[str]:
             for x in n[2]:
                 if isinstance(x, tuple) and x[0] == "rule":
                     for k in names:
-                        if k == x[1] or x[1].endswith("*") and k.startswith(x[1][:-1]):
+                        if k != rule.name and (k == x[1] or x[1].endswith("*") and k.startswith(x[1][:-1])):
                             out[k] = None
     return list(out)
 
