@@ -29,7 +29,7 @@ WINDOW = 10
 #: Words of test items in a block and in a section, and distinct words of a section, at most (a longer item is one).
 BLOCK_WORDS, SECTION_WORDS, VOCABULARY = 1_000_000, 16_000_000, 500_000
 #: Documents and words in a segment, at most (a longer document is a segment); places looked up at once.
-SEGMENT_DOCS, SEGMENT_WORDS, PLACES = 2048, 1_500_000, 2_000_000
+SEGMENT_DOCS, SEGMENT_WORDS, PLACES = 2048, 1_500_000, 100_000
 INDEX = "segment long, rows binary, terms binary, counts binary, postings binary"
 MATCHES = "row_id long, start int, stop int, item_id string"
 
