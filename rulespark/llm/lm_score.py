@@ -1,15 +1,18 @@
 """A log-bilinear language model, trained by noise-contrastive estimation, scores every text.
 
-Symbols are the most frequent training words, the end of a text, and classes of the other words by their
-last bytes.  The score of symbol w after symbols h1 (last) and h2 is (c1*r[h1] + c2*r[h2]).q[w] + b[w]; a word
-of a class then has its smoothed share of the class.  Because the two context terms only add, the normaliser of
-every pair of contexts comes from one matrix product, exp(U1) @ exp(U2 + b).T, so each token's probability is
-normalised exactly, at three table look-ups.
+Two levels, each normalised exactly.  Symbols are the most frequent training words, the end of a text, and classes of
+the other words by their last bytes.  The score of symbol w after symbols h1 (last) and h2 is
+(c1*r[h1] + c2*r[h2]).q[w] + b[w].  Because the two context terms only add, the normaliser of every pair of contexts comes
+from one matrix product, exp(U1) @ exp(U2 + b).T.  Inside a class, the items are its words among the `VECTORS` most
+frequent ones, each with a vector of its own, and one item for all its rarer words; their score after h1 is t[h1].p[w] + d[w],
+and the normalisers of all pairs of h1 and class come from t @ p.T.  So a token's probability takes a few table look-ups.
+A word of the rare item has its smoothed share of it.
 
 Training: every task runs stochastic gradient steps over all training texts of its partition, from common first
 values; the tasks' parameters are averaged, weighted by tokens, in a tree.  The first round takes a share of the
 texts, the second the others.  Counts cover all training texts.  What is sent to the tasks is bounded: `SYMBOLS`
-squared numbers, and the `COMMON` most frequent words; rarer words of a text are joined to the vocabulary table.
+squared numbers, `VECTORS` short vectors and the `COMMON` most frequent words; rarer words of a text are joined to the
+vocabulary table.
 
 Defined cases: a null or empty text has the end token alone; a null id counts as the empty string for the fold;
 repeated rows are trained on and scored each; ties in frequency go by word; extra columns are not read; with no
@@ -31,8 +34,11 @@ from .common import LOWER_BYTES, read, stored
 FOLDS, HELD_OUT = 7, 2
 #: Symbols (words, end, classes), vector length, words sent to the tasks.
 CLASSES, SYMBOLS, DIMENSIONS, COMMON = 256, 1024, 24, 100_000
+#: Words with vectors inside their class, and the vectors' length.
+VECTORS, INNER = 32_768, 8
 #: Training: tokens in a step, noise words, first rate; the folds of the first round.
 BATCH, NOISE, RATE, FIRST_ROUND = 1024, 32, 0.05, (0, 1)
+INNER_BATCH, INNER_NOISE = 4096, 4
 #: The end of a text in the vocabulary; no word is empty.
 END = b""
 #: Averages taken together, and words counted together, in a task.
@@ -98,18 +104,43 @@ class Model:
         self.r, self.q = (draw.normal(0, 0.1, (SYMBOLS, DIMENSIONS)).astype(np.float32) for _ in range(2))
         self.c = np.array([[1.0], [0.5]], np.float32) * np.ones((2, DIMENSIONS), np.float32)
         self.b = np.log(self.noise).astype(np.float32)
-        self.log_z = None
-
-    def lookup(self) -> dict[bytes, tuple[int, int]]:
-        """word -> (symbol, count)"""
+        self.log_z = self.log_y = None
+        # items by class: the rare one first, then the words in order of frequency
+        head = set(heads)
+        inner = [(class_of(w), w, n) for w, n in common if w not in head][:VECTORS]
+        by_class: list[list] = [[] for _ in range(CLASSES)]
+        for c, w, n in inner:
+            by_class[c].append((w, n + 1.0))
+        self.items, shares, first = {}, [], []
+        self.rare_sums = np.zeros(CLASSES)
+        for c, words in enumerate(by_class):
+            first.append(len(shares))
+            # words beyond the vectors count n + 1 each, the unseen ones 1 together
+            self.rare_sums[c] = max(self.class_sums[c] - sum(n for _, n in words), 1.0)
+            shares.append(self.rare_sums[c])
+            for w, n in words:
+                self.items[w] = len(shares)
+                shares.append(n)
+        self.first, weights = np.array(first), np.array(shares)
+        self.item_class = np.repeat(np.arange(CLASSES), np.diff(np.append(first, len(shares))))
+        self.share = weights / np.add.reduceat(weights, self.first)[self.item_class]
+        self.reach = np.cumsum(self.share)  # class c covers c .. c + 1
+        self.t = draw.normal(0, 0.1, (SYMBOLS, INNER)).astype(np.float32)
+        self.p = np.zeros((len(shares), INNER), np.float32)
+        self.d = np.log(self.share).astype(np.float32)
+
+    def lookup(self) -> dict[bytes, tuple[int, int, int]]:
+        """word -> (symbol, count, item or -1)"""
         heads = {w: k for k, w in enumerate(self.heads)}
-        out = {w: (heads.get(w, -1), n) for w, n in self.common}
-        out = {w: (s if s >= 0 else SYMBOLS - CLASSES + class_of(w), n) for w, (s, n) in out.items()}
-        out.setdefault(END, (0, 0))
+        out = {}
+        for w, n in self.common:
+            s = heads.get(w, -1)
+            out[w] = (s, n, -1) if s >= 0 else (SYMBOLS - CLASSES + class_of(w), n, self.items.get(w, int(self.first[class_of(w)])))
+        out.setdefault(END, (0, 0, -1))
         return out
 
     def parameters(self) -> list:
-        return [self.r, self.q, self.c, self.b]
+        return [self.r, self.q, self.c, self.b, self.t, self.p, self.d]
 
     def pack(self) -> bytes:
         return b"".join(p.astype("<f4").tobytes() for p in self.parameters())
@@ -118,11 +149,11 @@ class Model:
         import numpy as np
 
         flat, at = np.frombuffer(raw, "<f4"), 0
-        for name in "rqcb":
+        for name in "rqcbtpd":
             p = getattr(self, name)
             setattr(self, name, flat[at : at + p.size].reshape(p.shape).copy())
             at += p.size
-        self.log_z = None
+        self.log_z = self.log_y = None
 
     def contexts(self):
         """(U1, U2): the parts of the score by last and last but one symbol; b is in the second."""
@@ -134,13 +165,53 @@ class Model:
         one, two = (u.astype(np.float64) for u in self.contexts())
         high, low = one.max(1, keepdims=True), two.max(1, keepdims=True)
         self.log_z = (np.log(np.exp(one - high) @ np.exp(two - low).T) + high + low.T).astype(np.float32)
+        self.log_y = np.empty((SYMBOLS, CLASSES), np.float32)
+        for at in range(0, SYMBOLS, 64):
+            inner = np.exp((self.t[at : at + 64] @ self.p.T + self.d).astype(np.float64))
+            self.log_y[at : at + 64] = np.log(np.add.reduceat(inner, self.first, axis=1))
+
+    def train_inner(self, last, item, seed: int) -> None:
+        """Noise-contrastive steps over pairs (last symbol, item); noise comes from the item's class."""
+        import numpy as np
+
+        draw = np.random.default_rng(seed)
+        t, p, d = self.t, self.p, self.d
+        if not hasattr(self, "seen_inner"):
+            self.seen_inner = [np.full(x.shape, 1.0, np.float32) for x in (t, p, d)]
+        shift = np.log(INNER_NOISE * self.share).astype(np.float32)
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+        def change(parameter, total, at, values):
+            own, which = np.unique(at, return_inverse=True)
+            if values.ndim == 1:
+                g = np.bincount(which, values, len(own)).astype(np.float32)
+            else:
+                n = values.shape[1]
+                g = np.bincount((which[:, None] * n + np.arange(n)).ravel(), values.ravel(), len(own) * n).reshape(len(own), n).astype(np.float32)
+            total[own] += g * g
+            parameter[own] += RATE * g / np.sqrt(total[own])
+
+        order = draw.permutation(len(item))
+        for k in range(0, len(order), INNER_BATCH):
+            pick = order[k : k + INNER_BATCH]
+            h, w = last[pick], item[pick]
+            u = self.item_class[w][:, None] + draw.random((len(w), INNER_NOISE))
+            v = np.minimum(np.searchsorted(self.reach, u), len(self.reach) - 1)
+            hat = t[h]
+            good = 1 - sigmoid((hat * p[w]).sum(1) + d[w] - shift[w])
+            bad = -sigmoid((hat[:, None] * p[v]).sum(2) + d[v] - shift[v])
+            gt = good[:, None] * p[w] + (bad[:, :, None] * p[v]).sum(1)
+            at = np.append(w, v.ravel())
+            change(p, self.seen_inner[1], at, np.concatenate([good[:, None] * hat, (bad[:, :, None] * hat[:, None]).reshape(-1, INNER)]))
+            change(d, self.seen_inner[2], at, np.append(good, bad.ravel()))
+            change(t, self.seen_inner[0], h, gt)
 
     def train(self, symbols, seed: int) -> None:
         """Noise-contrastive steps over triples (last, last but one, next) of symbols."""
         import numpy as np
 
         draw = np.random.default_rng(seed)
-        r, q, c, b = self.parameters()
+        r, q, c, b = self.parameters()[:4]
         s, d = r.shape
         shift = np.log(NOISE * self.noise).astype(np.float32)
         if not hasattr(self, "seen"):
@@ -183,8 +254,21 @@ def _table(shared):
     return model, TABLES[model.name]
 
 
-def _symbols(words: list[bytes], known: dict) -> list[int]:
-    return [known[w][0] if w in known else SYMBOLS - CLASSES + class_of(w) for w in words] + [0]
+def _symbols(words: list[bytes], known: dict, first) -> tuple[list[int], list[int]]:
+    """(symbols, items) of the words and the end; -1 where a symbol is a word."""
+    symbols, items = [], []
+    for w in words:
+        x = known.get(w)
+        if x is None:
+            c = class_of(w)
+            symbols.append(SYMBOLS - CLASSES + c)
+            items.append(int(first[c]))
+        else:
+            symbols.append(x[0])
+            items.append(x[2])
+    symbols.append(0)
+    items.append(-1)
+    return symbols, items
 
 
 def train_round(texts: DataFrame, model: Model, seed: int) -> None:
@@ -198,18 +282,23 @@ def train_round(texts: DataFrame, model: Model, seed: int) -> None:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        first, known = _table(shared)
-        own, tokens, part = copy.deepcopy(first), 0, TaskContext.get().partitionId()
+        given, known = _table(shared)
+        own, tokens, part = copy.deepcopy(given), 0, TaskContext.get().partitionId()
+        first = own.first.tolist()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                seen = [_symbols(words_of(t.as_py()), known) for t in batch.column(0).slice(at, 512)]
-                flat = np.fromiter((x for s in seen for x in (0, 0, *s)), np.int64)
+                seen = [_symbols(words_of(t.as_py()), known, first) for t in batch.column(0).slice(at, 512)]
+                flat = np.fromiter((x for s, _ in seen for x in (0, 0, *s)), np.int64)
+                items = np.fromiter((x for _, i in seen for x in (-1, -1, *i)), np.int64)
                 # two marks before each text, whose own places are no targets
-                marks = np.cumsum([0] + [len(s) + 2 for s in seen])[:-1]
+                marks = np.cumsum([0] + [len(s) + 2 for s, _ in seen])[:-1]
                 target = np.ones(len(flat), bool)
                 target[marks] = target[marks + 1] = False
                 places = np.flatnonzero(target)
-                own.train((flat[places - 1], flat[places - 2], flat[places]), seed * 1_000_003 + part * 1009 + tokens % 1009)
+                start = seed * 1_000_003 + part * 1009 + tokens % 1009
+                own.train((flat[places - 1], flat[places - 2], flat[places]), start)
+                inner = np.flatnonzero(items >= 0)
+                own.train_inner(flat[inner - 1], items[inner], start + 1)
                 tokens += len(places)
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([tokens], pa.int64()), pa.array([own.pack()], pa.binary())], ["part", "tokens", "raw"])
@@ -282,22 +371,27 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, tokens: int, dis
         model, known = _table(shared)
         one, two = model.contexts()
         log_z, at, part = model.log_z, 0, TaskContext.get().partitionId() << 36
-        tail = SYMBOLS - CLASSES
-        log_class = np.log10(model.class_sums)
+        tail, first = SYMBOLS - CLASSES, model.first.tolist()
+        log_rare = np.log10(model.rare_sums)
         types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
         for batch in batches:
             out = []
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(t.as_py())
-                symbols = np.array([0, 0, *_symbols(words, known)])
+                symbols, items = _symbols(words, known, first)
+                symbols, item = np.array([0, 0, *symbols]), np.array(items)
                 h2, h1, w = symbols[:-2], symbols[1:-1], symbols[2:]
                 total = float((one[h1, w] + two[h2, w] - log_z[h1, h2]).astype(np.float64).sum()) / ten
+                inside = np.flatnonzero(item >= 0)
+                own, last, classes = item[inside], h1[inside], w[inside] - tail
+                total += float(((model.t[last] * model.p[own]).sum(1) + model.d[own] - model.log_y[last, classes]).astype(np.float64).sum()) / ten
                 found = [known[x] for x in words if x in known] + [known[END]]
-                counts = np.array([n for _, n in found], float)
-                in_class = np.array([s for s, _ in found]) >= tail
+                counts = np.array([x[1] for x in found], float)
                 logs = np.log10(counts + 1)
-                inside = w[w >= tail] - tail
-                total += float(logs[in_class].sum() - log_class[inside].sum())
+                # of the rare item, a word has its share
+                shared_item = np.array([x[2] >= 0 and model.first[x[0] - tail] == x[2] for x in found])
+                scarce = classes[own == model.first[classes]]
+                total += float(logs[shared_item].sum() - log_rare[scarce].sum())
                 rare = Counter(x for x in words if x not in known)
                 out.append((part + at, doc_id, len(words) + 1, int((counts > 0).sum()), float(logs.sum()), total, [{"word": x, "n": n} for x, n in rare.items()]))
                 at += 1
