@@ -38,14 +38,19 @@ def words_by_space(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, broadcast_ids: int = 500_000) -> DataFrame:
     """The rows whose doc_id is not among `gone` (one column), in the columns they came in; null equals null.
 
     Few ids (8 bytes each, counted first) are broadcast, so the texts are not shuffled; more are joined by shuffle.
     """
-    name = "_gone"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = fresh(docs, "_gone")
     gone = stored(gone.toDF(name).distinct(), "gone-ids")
     few = gone.count() <= broadcast_ids
     return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, text_of
+from .common import SPACE, SPACE_CHARS, fresh, text_of
 
 #: A line of running text ends in one of these, perhaps before closing marks.
 ENDS = r"[.!?…。！？:;][\"'”’»)\]]*$"
@@ -85,23 +85,24 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     if clash := [c for c in docs.columns if c.lower() in new]:
         docs = docs.drop(*clash)
     t = text_of(docs, text)
+    lines, full, kept, words = (fresh(docs, n) for n in ("_lines", "_full", "_kept", "_words"))
     out = docs.withColumns({
-        "_lines": F.transform(F.split(t, "\n", -1), lambda x: _let(F.btrim(x, F.lit(SPACE_CHARS)), lambda y: F.struct(x.alias("raw"), y.alias("line"), F.when(y == "", F.array().cast("array<string>")).otherwise(F.split(y, SPACE)).alias("words")))),
+        lines: F.transform(F.split(t, "\n", -1), lambda x: _let(F.btrim(x, F.lit(SPACE_CHARS)), lambda y: F.struct(x.alias("raw"), y.alias("line"), F.when(y == "", F.array().cast("array<string>")).otherwise(F.split(y, SPACE)).alias("words")))),
     })
-    out = out.withColumn("_lines", F.transform("_lines", lambda x: F.struct(x["raw"].alias("raw"), x["words"].alias("words"), (x["line"] == "").alias("blank"), ((x["line"] != "") & line_fails(x["line"], F.size(x["words"]))).alias("fails"))))
-    out = out.withColumns({"_full": F.transform(F.filter("_lines", lambda x: ~x["blank"]), lambda x: x["raw"]), "_kept": F.filter("_lines", lambda x: ~x["fails"]), "_words": F.flatten(F.transform("_lines", lambda x: x["words"]))})
-    whole = F.size("_kept") == F.size("_lines")
+    out = out.withColumn(lines, F.transform(lines, lambda x: F.struct(x["raw"].alias("raw"), x["words"].alias("words"), (x["line"] == "").alias("blank"), ((x["line"] != "") & line_fails(x["line"], F.size(x["words"]))).alias("fails"))))
+    out = out.withColumns({full: F.transform(F.filter(lines, lambda x: ~x["blank"]), lambda x: x["raw"]), kept: F.filter(lines, lambda x: ~x["fails"]), words: F.flatten(F.transform(lines, lambda x: x["words"]))})
+    whole = F.size(kept) == F.size(lines)
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)),
         "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")),
-        "clean_text": F.when(whole, t).otherwise(F.array_join(F.transform("_kept", lambda x: x["raw"]), "\n")),
-        "kept_words": F.aggregate("_kept", F.lit(0).cast("long"), lambda a, x: a + F.size(x["words"])),
+        "n_dup_lines": (F.size(full) - F.size(F.array_distinct(full))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(words)),
+        "clean_text": F.when(whole, t).otherwise(F.array_join(F.transform(kept, lambda x: x["raw"]), "\n")),
+        "kept_words": F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + F.size(x["words"])),
     })
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= F.col("n_words") * MIN_KEPT)).drop("_words", "_lines", "_full", "_kept")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= F.col("n_words") * MIN_KEPT)).drop(words, lines, full, kept)
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -412,3 +412,82 @@ def test_licence_templates(spark):
     got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] >= set(license_scan.TEMPLATES)
     assert got[2] == {""} and got[3] == {"cc-by-nc"} and got[10] == {"apache", "apache-2.0"}
+
+
+COLUMNS = {
+    "op1_lm_score": "doc_id:bigint held_out:boolean n_tokens:bigint n_known:bigint train_tokens:bigint base_score:double score:double",
+    "op2_license_scan": "doc_id:bigint n_words:bigint n_base:bigint first_word:bigint last_word:bigint base_labels:string labels:string score:double",
+    "op3_quality_rules": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
+    "op4_html_extract": "page_id:bigint url:string text:string n_chars:bigint",
+    "op5_sharding": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
+    "op6_chat_format": "conv_id:bigint n_turns:bigint turns_sha256:string loss_chars:bigint loss_sha256:string formatted_chars:bigint",
+    "op7_decontamination": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
+    "op8_packing": "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint",
+    "op9_jaccard_join": "doc_id:bigint n_shingles:bigint component_id:bigint",
+}
+
+
+@pytest.fixture(scope="session")
+def small(spark, tmp_path_factory, odd):
+    """A data set with odd documents and a part of the real ones."""
+    root = tmp_path_factory.mktemp("small")
+    real = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{real}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    documents.filter("doc_id > 100").unionByName(odd.select(*documents.columns)).write.parquet(f"{root}/documents.parquet")
+    for name in ("pages", "benchmark", "conversations"):
+        spark.read.parquet(f"{real}/{name}.parquet").write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_query_columns(spark, small, name):
+    from rulespark.llm import queries
+
+    df = queries.QUERIES[name](spark, small)
+    assert set(COLUMNS[name].split()) <= {f"{n}:{t}" for n, t in df.dtypes}
+    rows = df.collect()
+    keys = {"op4_html_extract": "page_id", "op6_chat_format": "conv_id"}
+    table = {"op4_html_extract": "pages", "op6_chat_format": "conversations"}.get(name, "documents")
+    have = Counter(r[keys.get(name, "doc_id")] for r in spark.read.parquet(f"{small}/{table}.parquet").collect())
+    got = Counter(r[keys.get(name, "doc_id")] for r in rows)
+    assert set(got) - {-1} == set(have)
+    if name not in ("op6_chat_format", "op8_packing"):
+        assert got == have
+    if name == "op5_sharding":
+        texts_of = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts_of)
+        assert {r["law"] for r in rows} == {"key"} and {r["shard"] for r in rows} <= set(range(16)) and all(r["grown_shard"] in (r["shard"], 16) for r in rows)
+    if name == "op8_packing":
+        whole = Counter()
+        for r in rows:
+            whole[r["doc_id"]] += r["length"]
+        assert all(sum(n for _, n in Counter({(r["doc_id"], r["doc_tokens"]): 1 for r in rows if r["doc_id"] == i}).items()) >= 1 for i in whole)
+
+
+def test_model_beats_the_base(spark):
+    """On texts held out, at the size of the smaller data set."""
+    from rulespark.llm import queries
+
+    held = queries.QUERIES["op1_lm_score"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] > held[1] + 0.05 * held[2]
+
+
+def test_inner_items_are_normalised(spark):
+    import numpy as np
+
+    words = [(f"w{k}".encode(), 1000 - k) for k in range(900)]
+    sums = Counter()
+    heads = lm_score.SYMBOLS - lm_score.CLASSES - 1
+    for w, n in words[heads:]:
+        sums[lm_score.class_of(w)] += n + 1
+    model = lm_score.Model([(lm_score.END, 50), *words], dict(sums))
+    draw = np.random.default_rng(1)
+    model.p += draw.normal(0, 1, model.p.shape).astype(np.float32)
+    model.normalise()
+    for h in (0, 5, 900):
+        scores = model.t[h] @ model.p.T + model.d
+        for c in range(0, lm_score.CLASSES, 37):
+            inside = model.item_class == c
+            assert np.exp(scores[inside] - model.log_y[h, c]).sum() == pytest.approx(1, abs=1e-4)
+    lookup = model.lookup()
+    assert lookup[b"w0"][2] == -1 and model.item_class[lookup[b"w899"][2]] == lm_score.class_of(b"w899")
