@@ -210,3 +210,30 @@ def purchases_after_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 over("st_hourly_append", hourly, f"{BASE}, g as (select {slot(3600)} as s, user_id as u, count(*) as n_e from e where event_type = 'error' group by all) select 'st_hourly_append' as rule, s as window_start, s + to_seconds(3600) as window_end, u, n_e from g where n_e > 1 and s + to_seconds(3600) <= (select max(ts) - to_seconds(1) from e)")
 over("st_interval_join", purchases_after_signups, "select a.event_id as a_event_id, b.event_id as b_event_id from events a join events b on a.user_id = b.user_id and a.event_type = 'signup' and b.event_type = 'purchase' and b.ts > a.ts and b.ts <= a.ts + interval 2 hour")
+
+
+COOCCUR = f'rule st_window_cooccur {{\n  events: $a.metadata.event_type = "click" $b.metadata.event_type = "purchase" $a.principal.user.userid = $u $b.principal.user.userid = $u\n  match: $u over 1d\n  condition: #a > 1 and $b\n}}'
+
+
+def cooccur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulespark.streaming.events import detect_stream
+
+    return stream(spark, sf_dir, "cooccur", lambda events: detect_stream(COOCCUR, events, "1 second"))
+
+
+over("st_window_cooccur", cooccur, f"{BASE}, g as (select {slot(86400)} as s, user_id as u, count(*) filter (event_type = 'click') as n_a, count(*) filter (event_type = 'purchase') as n_b from e group by all) select 'st_window_cooccur' as rule, s as window_start, s + to_seconds(86400) as window_end, u, n_a, n_b from g where n_a > 1 and n_b > 0 and s + to_seconds(86400) <= (select max(ts) - to_seconds(1) from e)")
+windowed("ev_anonymous_outcome", "user_id > 0", f"{U} > 0", f"if(count({T}) > 3, 1, 0)", "case when count(event_type) > 3 then 1 else 0 end as _", over="1d", seconds=86400)
+windowed("ev_window_reset", "user_id > 0", f"{U} > 0", over="1h over 1d", seconds=86400)
+
+
+def selectivities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the event statements of a rule, and their places when the most selective come first."""
+    from rulespark.plans.event_rule import by_selectivity, parse, selectivity, text_of
+
+    rule = by_selectivity(parse(f'rule r {{ events: {V} > 5 {T} matches /x/ {T} = "error" {U} != 3 condition: $e }}')[0])
+    return spark.createDataFrame([(k, text_of(e), selectivity(e)) for k, e in enumerate(rule.events)], "place int, predicate string, score double").select("place", "score")
+
+
+over("ev_selectivity", selectivities, "select * from (values (0, 17.0), (1, 11.0), (2, 8.0), (3, 5.0)) v(place, score)")
+over("co_symbols", lambda s, d: A.symbols(parse_corpus(rule_files(s, d))).groupBy("kind").agg(F.count("*").alias("n")), PARTS + " select 'rule' as kind, count(*) as n from p union all select 'string', count(*) from strings union all select 'meta', count(*) from p union all select 'tag', count(*) from p")
+over("co_references", lambda s, d: A.references_to(parse_corpus(rule_files(s, d)), "p8").select("path", "rule", "kind"), PARTS + " select a.path, b.rule, 'rule' as kind from p a join edges e on e.dst = a.rule join p b on b.rule = e.src where a.rule = 'p8'")

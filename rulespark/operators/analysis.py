@@ -210,6 +210,22 @@ def workspace_report(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count_distinct("path").alias("n_files"), F.count_if(F.col("error").isNull()).alias("n_rules"), F.count_if(F.col("error").isNotNull()).alias("n_errors")).crossJoin(conflicts)
 
 
+def symbols(parsed: DataFrame) -> DataFrame:
+    """(path, pos, rule, kind, name): rules, strings, meta keys and tags that files define."""
+    ok = parsed.filter("error is null")
+    each = lambda kind, names: ok.select("path", "pos", F.col("name").alias("rule"), F.lit(kind).alias("kind"), F.explode(names).alias("name"))
+    return each("rule", F.array("name")).unionByName(each("string", F.transform("strings", lambda s: F.concat(F.lit("$"), s["sid"])))).unionByName(each("meta", F.map_keys("meta"))).unionByName(each("tag", F.col("tags")))
+
+
+def references_to(parsed: DataFrame, name: str) -> DataFrame:
+    """(path, pos, rule, kind): rules whose condition refers to a rule, or to a string with this name ($ first)."""
+    ok = parsed.filter("error is null")
+    if name.startswith("$"):
+        hit = F.exists("refs", lambda r: (r["ref"] == name[1:]) | (r["ref"].endswith("*") & F.lit(name[1:]).startswith(F.rtrim(r["ref"], F.lit("*")))))
+        return ok.filter(hit).select("path", "pos", F.col("name").alias("rule"), F.lit("string").alias("kind"))
+    return ok.filter(F.array_contains("rule_refs", name)).select("path", "pos", F.col("name").alias("rule"), F.lit("rule").alias("kind"))
+
+
 # Diffs
 
 

@@ -131,6 +131,7 @@ class Parser(Stream):
         return amount, unit
 
     def read_match(self, rule):
+        alone = False  # whether no variable came since the last window: another `over` then takes its place
         while not self.ends():
             if self.take("over"):
                 window = Window(*self.duration()) if not self.has("every") else None
@@ -141,10 +142,11 @@ class Parser(Stream):
                         window = Window(*self.duration())
                 if how := self.take("after", "before"):
                     window.anchor = (how, str(self.kind("var").value)[1:])
-                if rule.window and rule.window != window:
+                if rule.window and rule.window != window and not alone:
                     raise RuleError(f"rule {rule.name}: one window for all match variables")
-                rule.window = window
+                rule.window, alone = window, True
             else:
+                alone = False
                 name = str(self.kind("var").value)[1:]
                 rule.match.append((name, self.additive() if self.take("=") else None))
             self.take(",")
@@ -152,6 +154,11 @@ class Parser(Stream):
 
     def read_outcome(self, rule):
         while not self.ends():
+            if self.has("if"):  # without a name it is `_`, then `_2` and so on
+                n = sum(k == "_" or k[:1] == "_" and k[1:].isdigit() for k, _ in rule.outcome)
+                rule.outcome.append(("_" if not n else f"_{n + 1}", self.expression()))
+                self.take(",")
+                continue
             t = self.next()
             if t.kind not in ("var", "name"):
                 raise RuleError(f"line {t.line}: an outcome needs a name")
@@ -377,6 +384,28 @@ def generate(rule: EventRule) -> str:
     return "\n".join([*out, "}"]) + "\n"
 
 
+#: Scores of a predicate's selectivity: by operator, and by words of the field.  Fixed values.
+OPERATOR_SCORES = {"==": 10.0, "!=": 8.0, ">": 5.0, "<": 5.0, ">=": 5.0, "<=": 5.0, "matches": 3.0}
+FIELD_SCORES = (("event_type", 5.0), ("hostname", 4.0), ("ip", 4.0), ("user", 3.0), ("timestamp", 2.0))
+
+
+def selectivity(node) -> float:
+    """How much a predicate is likely to leave out; 0 for anything but a field against a value."""
+    op, left, right = ("matches", node[1], node[2]) if node[0] == "match" else (node[1], node[2], node[3]) if node[0] == "bin" else ("", (), ())
+    if op not in OPERATOR_SCORES or not left or left[0] != "field":
+        return 0.0
+    parts = [x for x in left[2] if isinstance(x, str)]
+    field = next((score for word, score in FIELD_SCORES if word in parts or word == "event_type" and word in ".".join(parts)), 0.0)
+    return OPERATOR_SCORES[op] + field + (2.0 if right[0] == "lit" and isinstance(right[1], str) else 0.0)
+
+
+def by_selectivity(rule: EventRule) -> EventRule:
+    """The rule with its most selective event statements first; others keep their order."""
+    from dataclasses import replace
+
+    return replace(rule, events=sorted(rule.events, key=lambda e: -selectivity(e)))
+
+
 def validate(rule: EventRule) -> list[tuple[str, str]]:
     """(severity, message) of what is wrong or doubtful."""
     out = []

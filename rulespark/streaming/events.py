@@ -1,4 +1,8 @@
-"""Event rules on Structured Streaming: the batch plan of a rule with one event variable, under a watermark."""
+"""Event rules on Structured Streaming: the batch plan of a rule under a watermark.
+
+Rules of one event variable, and of several that share only match keys (they are counted side by side in one
+aggregation), run as they are.
+"""
 
 from __future__ import annotations
 
@@ -20,8 +24,8 @@ def detect_stream(rule: str | EventRule, events: DataFrame, delay: str = "10 min
     rule = parse(rule)[0] if isinstance(rule, str) else rule
     binding: Binding = security_events(events.withWatermark("ts", delay))
     compiler = Compiler(rule, binding)
-    if len(compiler.names) > 1 or not rule.match or rule.window.anchor:
-        raise ValueError("a streaming rule has one event variable and a plain match window")
+    if not rule.match or rule.window.anchor or len(compiler.names) > 1 and not compiler.side_by_side():
+        raise ValueError("a streaming rule has a plain match window, and its event variables share only match keys")
     return compiler.compile()
 
 
