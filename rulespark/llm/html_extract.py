@@ -10,7 +10,7 @@ Text in menus, headers, footers, sidebars, notices, adverts, forms, scripts, sty
 their elements, classes and ids, goes.  If a page has text in an article or main element, that is its text.  Any other
 page is matched to its host's wrapper: slots whose text is the same on all their pages, three at least, hold the
 site's text and go, a repeated group as a whole; so do blocks that mostly consist of links.  A page of which
-nothing would be left, as where all pages of a host are copies, keeps its slots.
+nothing would be left, as where all pages of a host are copies or all text is links, keeps its slots.
 
 Defined cases: null or empty html gives an empty text; broken and unclosed markup is read as browsers read it
 (the end tag of an outer element closes inner ones, a new block closes an open paragraph); a null url is a host of
@@ -43,6 +43,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot caption legend summary html body".split())
 #: Words of a class, id or role that name something other than the text.  Fixed values.
 BOILER_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|masthead|menu|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|replies|reply|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Of these, names that prose in an article may have too: inside it they count only for blocks that mostly consist of links.
+WEAK_NAME = re.compile(r"(?:^|[\s_-])(?:related|share|sharing|search|header|footer|reply|promo\w*)(?=$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\b[0-9a-f]*\d[0-9a-f]{7,}\b|\d{3,}")
 #: Elements whose marks name a slot; those of headings, paragraphs and articles are often a page's own.
@@ -112,6 +114,12 @@ def is_boiler(step: str) -> bool:
     return name in BOILER or bool(marks and name not in ("html", "body", "article", "main") and BOILER_NAME.search(marks))
 
 
+def is_weak(step: str) -> bool:
+    """Boilerplate only by names that prose may have."""
+    name, _, marks = step.partition(".")
+    return name not in BOILER and not BOILER_NAME.search(WEAK_NAME.sub(" ", marks))
+
+
 def step_label(step: str) -> str:
     """A step of a slot's path: the element, and for containers the words of its marks, with numbers as 0."""
     name, _, marks = step.partition(".")
@@ -121,17 +129,18 @@ def step_label(step: str) -> str:
 
 @lru_cache(100_000)
 def slot_of(path: tuple[str, ...]) -> tuple[str, str, bool]:
-    """(label, 'content' | 'body' | 'boiler', inside a link) of a path.  Inline elements are not in the label;
+    """(label, 'content' | 'weak' | 'body' | 'boiler', inside a link) of a path.  Inline elements are not in the label;
     what lies inside a content element or a boilerplate element has that element's label."""
     names = [x.partition(".")[0] for x in path]
     inside = next((k for k, n in enumerate(names) if n in CONTENT), None)
     # a header inside the content is the text's own unless it is named otherwise
-    boiler = next((k for k, x in enumerate(path) if k != inside and is_boiler(x)), None)
+    boiler = next((k for k, x in enumerate(path) if k != inside and is_boiler(x) and not (inside is not None and k > inside and is_weak(x))), None)
+    weak = boiler is None and inside is not None and any(is_boiler(x) for x in path[inside + 1 :])
     end = boiler if boiler is not None else inside
     label = "/".join(step_label(x) for x, n in zip(path[:end], names) if n in BLOCKS)
     if end is not None:
         label += f"/{names[end]}" + ("!" if boiler is not None else "")
-    return label, "boiler" if boiler is not None else "body" if inside is None else "content", "a" in names
+    return label, "boiler" if boiler is not None else "body" if inside is None else "weak" if weak else "content", "a" in names
 
 
 def blocks(page: str) -> list[list]:
@@ -156,6 +165,9 @@ def blocks(page: str) -> list[list]:
             at[kind][3] += len(decoded.strip())
     for x in out:
         x[2] = SPACE.sub(" ", "".join(x[2])).strip()
+        if x[1] == "weak":
+            x[1] = "content" if x[3] * 2 <= len(x[2]) else "boiler"
+            x[2] = x[2] if x[1] == "content" else ""
     return out
 
 
@@ -386,7 +398,7 @@ def texts(pages: DataFrame) -> DataFrame:
                 items, where = slots(all_blocks)
                 left.append({
                     "blank": any(x[1] == "content" for x in all_blocks), "slots": [{"item": x[0], "text": x[2]} for x in items],
-                    "blocks": [{"slot": where[k], "text": all_blocks[k][2]} for k in text_blocks(all_blocks, ("body",), False)],
+                    "blocks": [{"slot": where[k], "text": all_blocks[k][2]} for k in text_blocks(all_blocks, ("body",), False) or text_blocks(all_blocks, ("body",), True)],
                 })
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(done, pa.string()), pa.array(left, kind)], ["page_id", "url", "host", "done", "left"])
 

@@ -491,3 +491,15 @@ def test_inner_items_are_normalised(spark):
             assert np.exp(scores[inside] - model.log_y[h, c]).sum() == pytest.approx(1, abs=1e-4)
     lookup = model.lookup()
     assert lookup[b"w0"][2] == -1 and model.item_class[lookup[b"w899"][2]] == lm_score.class_of(b"w899")
+
+
+def test_html_article_names(spark):
+    """Inside an article, names that prose may have count only for lists of links."""
+    rows = [
+        (1, '<article><p>Body one.</p><div class="share">Prose about shares.</div><div class="share"><a href=x>Tweet</a> <a href=y>Post</a></div><div class="comments">No.</div></article>'),
+        (2, '<article><section class="related work"><p>Earlier <a href=x>work</a> did this.</p></section></article>'), (3, '<body><p><a href=x>All of it is a link</a></p></body>'),
+        (4, '<div class="related"><article><p>Kept out by name above it?</p></article></div><main><p>Main.</p></main>'),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_extract.texts(spark.createDataFrame([(k, f"http://h{k}.example/", h) for k, h in rows], "page_id long, url string, html string")).collect()}
+    assert got[1] == "Body one.\n\nProse about shares." and got[2] == "Earlier work did this." and got[3] == "All of it is a link"
+    assert got[4].endswith("Main.")
