@@ -99,7 +99,7 @@ add("co_cycles", lambda edges, **_: C.cyclic(edges), f", {REACH} select a.src as
 add("co_isolated", lambda rules, edges, **_: C.isolated(rules, edges), " select rule from rules where rule not in (select src from edges) and rule not in (select dst from edges)")
 add("co_topo_level", lambda rules, edges, **_: C.levels(rules, edges), f", {REACH}, loops as (select src from reach where src = dst), bad as (select src from reach where dst in (select src from loops) union select src from loops), p as (select src, dst, 1 as l from edges where src not in (select src from bad) union select p.src, e.dst, p.l + 1 from p join edges e on e.src = p.dst) select r.rule, case when r.rule in (select src from bad) then null else coalesce((select max(l) from p where p.src = r.rule), 0) end as level from rules r")
 add("co_name_conflicts", lambda rules, **_: C.name_conflicts(rules), " select name, count(distinct path) as n_files from rules group by name having count(distinct path) > 1")
-add("co_lint", lambda rules, strings, **_: C.lint(rules, strings), """, b as (select unnest(['(.+)+', '(.+)*', '(.*)+', '(.+)?+', '([^x]+)+', '([^x]*)*']) as p)
+add("co_lint", lambda rules, strings, **_: C.lint(rules, strings), ", b as (select unnest([" + ", ".join(f"'{x}'" for x in C.SLOW_REGEXES) + """]) as p)
  select rule, sid, 'short_string' as issue, 'info' as severity from strings where kind = 'plain' and length < 4 and len(mods) = 0
  union all select rule, sid, 'pattern_characters', 'info' from strings where kind = 'plain' and regexp_matches(value, '[*?\\[\\]]')
  union all select rule, sid, 'many_wildcards', 'warning' from strings where kind = 'hex' and len(list_filter(tokens, lambda t: t = '??')) > len(tokens) * 0.5

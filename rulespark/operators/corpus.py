@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from rulespark.storage import stored
 
+#: Parts of regular expressions that backtrack without end.  Fixed values.
+SLOW_REGEXES = ("(.+)+", "(.+)*", "(.*)+", "(.+)?+", "([^x]+)+", "([^x]*)*")
 #: Rounds after which a loop's tables are written and read again.
 CUT = 8
 
@@ -129,7 +131,7 @@ def complexity_distribution(rules: DataFrame) -> DataFrame:
 
 
 def quality(rules: DataFrame, n_unused: DataFrame, complex_at: int = 10) -> DataFrame:
-    """One row: score 0..100 and grade, by fixed penalties for depth, unused strings and complex rules."""
+    """One row: score 0..100 and grade, by fixed penalties (fixed values) for depth, unused strings and complex rules."""
     totals = rules.agg(F.max("depth").alias("depth"), F.count("*").alias("n"), F.count_if(F.col("cyclomatic") > complex_at).alias("n_complex"), F.count_if(F.size(F.map_keys("meta")) > 0).alias("n_meta")).crossJoin(n_unused.agg(F.count("*").alias("n_unused")))
     score = (100.0 - F.when(F.col("depth") > 8, 20).when(F.col("depth") > 5, 10).otherwise(0) - F.least(F.lit(20), F.col("n_unused") * 5) - F.least(F.lit(25), F.col("n_complex") * 10) + F.when(F.col("n_meta") / F.greatest(F.col("n"), F.lit(1)) > 0.8, 5).otherwise(0))
     out = totals.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
@@ -201,7 +203,7 @@ def diff(old: DataFrame, new: DataFrame, key: str = "rule") -> DataFrame:
 
 def lint(rules: DataFrame, strings: DataFrame) -> DataFrame:
     """(rule, sid, issue, severity)."""
-    bad = F.array(*[F.lit(x) for x in ("(.+)+", "(.+)*", "(.*)+", "(.+)?+", "([^x]+)+", "([^x]*)*")])
+    bad = F.array(*map(F.lit, SLOW_REGEXES))
     wild = F.size(F.filter("tokens", lambda t: t == "??"))
     of_strings = [
         ("short_string", "info", (F.col("kind") == "plain") & (F.col("length") < 4) & (F.size("mods") == 0)),
