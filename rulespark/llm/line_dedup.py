@@ -70,12 +70,13 @@ def ranked(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
 
 
 def named_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k1, k2, start, lines, name1, name2): the shortest runs of min_words words whose lines all occur again; stored.
+    """(k1, k2, start, lines, name1, name2, again): the shortest runs of min_words words whose lines all occur again; stored.
 
-    Runs with the same number of lines and the same names are one LCP interval.
+    Runs with the same number of lines and the same names are one LCP interval; `again` says that a run stands earlier in
+    its own text.
     """
     level = ranked(lines_of(docs, min_words), ["id"], "suffixes")
-    first = level
+    first, levels = level, [level]
     run = lambda start, lines: first.select("k1", "k2", start.cast("int").alias("start"), F.col(lines).alias("lines")).filter(F.col("lines").isNotNull())
     runs = stored(run(F.col("pos"), "ahead").union(run(F.col("pos") - F.col("back") + 1, "back")).distinct(), "runs")
     longest = runs.agg(F.max("lines")).first()[0] or 0
@@ -85,16 +86,19 @@ def named_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         front = ranks.select("k1", "k2", F.col("pos").alias("start"), F.col("rank").alias("name1"))
         end = ranks.select("k1", "k2", (F.col("pos") + width).alias("stop"), F.col("rank").alias("name2"))
         own = runs.filter((F.col("lines") >= width) & (F.col("lines") < 2 * width)).join(front, ["k1", "k2", "start"]).withColumn("stop", F.col("start") + F.col("lines")).join(end, ["k1", "k2", "stop"])
-        parts.append(stored(own.select("k1", "k2", "start", "lines", "name1", "name2"), "named-runs"))
+        parts.append(own.select("k1", "k2", "start", "lines", "name1", "name2"))
         width *= 2
         if width <= longest:
             later = ranks.select("k1", "k2", (F.col("pos") - width // 2).alias("pos"), F.col("rank").alias("r2"))
             level = ranked(ranks.withColumnRenamed("rank", "r1").join(later, PLACE), ["r1", "r2"], "suffixes")
-    if not parts:
-        return runs.select("k1", "k2", "start", "lines", F.lit(0).cast("long").alias("name1"), F.lit(0).cast("long").alias("name2"))
-    out = parts[0]
+            levels.append(level)
+    zero = F.lit(0).cast("long")
+    out = parts[0] if parts else runs.select("k1", "k2", "start", "lines", zero.alias("name1"), zero.alias("name2"))
     for p in parts[1:]:
         out = out.unionByName(p)
+    again = F.col("start") > F.min("start").over(W.partitionBy("lines", "name1", "name2", "k1", "k2"))
+    out = stored(out.withColumn("again", again), "named-runs")
+    drop(runs, *levels)
     return out
 
 
@@ -102,13 +106,13 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2, gone): the places of the lines that are later copies, for documents that have any; stored."""
     name = ["lines", "name1", "name2"]
     found = named_runs(docs, min_words)
-    # a run that stands earlier in its own text
-    found = found.withColumn("again", F.col("start") > F.min("start").over(W.partitionBy(*name, "k1", "k2")))
     first = found.groupBy(*name).agg(F.min("k1").alias("first"), F.max("k1").alias("last"), F.max("again").alias("twice")).filter("first < last or twice")
     late = found.join(first, name).filter((F.col("k1") > F.col("first")) | F.col("again"))
     spans = late.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "lines")).alias("spans"))
     every = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["lines"] - 1)))
-    return stored(spans.select("k1", "k2", F.array_sort(F.array_distinct(every)).alias("gone")), "later-copies")
+    out = stored(spans.select("k1", "k2", F.array_sort(F.array_distinct(every)).alias("gone")), "later-copies")
+    drop(found)
+    return out
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
