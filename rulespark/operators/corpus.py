@@ -92,9 +92,16 @@ def pooling(values: DataFrame, value: str = "value") -> DataFrame:
 
 
 def similar_names(strings: DataFrame) -> DataFrame:
-    """Pairs of names of one rule at edit distance 1."""
-    a, b = strings.select("rule", F.col("sid").alias("a")), strings.select("rule", F.col("sid").alias("b"))
-    return a.join(b, "rule").filter((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)).filter(F.levenshtein("a", "b") == 1)
+    """Pairs of names of one rule at edit distance 1.
+
+    Two such names have a form in common: themselves, or with one character left out; so a rule's names are not paired with
+    each other but joined by these forms.
+    """
+    shorter = F.transform(F.sequence(F.lit(1), F.length("sid")), lambda k: F.concat(F.left("sid", k - 1), F.substring("sid", k + 1, F.length("sid"))))
+    forms = F.array_distinct(F.concat(F.array("sid"), F.when(F.length("sid") > 0, shorter).otherwise(F.array().cast("array<string>"))))
+    rows = strings.select("rule", "sid").select("rule", "sid", F.explode(forms).alias("form"))
+    a, b = rows.select("rule", "form", F.col("sid").alias("a")), rows.select("rule", "form", F.col("sid").alias("b"))
+    return a.join(b, ["rule", "form"]).filter("a < b").select("rule", "a", "b").distinct().filter(F.levenshtein("a", "b") == 1)
 
 
 def contained(strings: DataFrame) -> DataFrame:
