@@ -38,6 +38,18 @@ def words_by_space(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
+#: Bytes of an Arrow batch on its way to Python: two tasks of an executor hold several at once, on both sides.
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table; the session's Arrow batches are at most ARROW_BYTES from now on (Spark's own limit is 64 MB)."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name, None) in (None, "67108864b", "64m", "64MB"):
+        conf.set(name, f"{ARROW_BYTES}b")
+    return df
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """The name, with underscores until no column has it."""
     while name.lower() in {c.lower() for c in docs.columns}:

@@ -9,12 +9,13 @@ principle linked sets agree in some block: the sketches are joined block by bloc
 says little; m - D - 1 such blocks may be left out without losing a pair, and a set with more of them
 emits them all.
 
-Each group of equal blocks gives pairs with its first member.  A second sketch of 1,024 parity bits (Hamming
-distance again bounds the difference) and then the sets themselves verify them.  Where a group has members in
-more than one component, its parity bits are compared across components: a member with a near one gives one row
-(not one for each pair), with the least class of those it hangs together with.  Such classes form nests; the whole sets of a
-nest are compared across components, once for all groups, and give a spanning forest of links.  So every linked
-pair is either verified or inside a component, and the rows that leave a group or nest are linear in its members.
+Each group of equal blocks gives pairs with its first member.  A second sketch of parity bits, two or more for
+each shingle (Hamming distance again bounds the difference), and then the sets themselves verify them.  Where a group has members in
+more than one component, its parity bits, folded to 1,024, are compared across components: a member with a near one
+gives one row (not one for each pair), with the least class of those it hangs together with.  Such classes form nests.
+In a nest each class stands once; whole sketches thin it out, then whole sets are compared across components and give
+a spanning forest of links.  So every linked pair is either verified or inside a component, and the rows that leave a
+group or nest are linear in its members.
 Groups and nests beyond a tile's size are dealt into tiles, in which every two of their members meet.
 
 Defined cases: null, empty and blank texts have no shingle, link with nothing and are their own component; null
@@ -24,21 +25,19 @@ an empty table gives an empty table.  Classes are named by 64 bits of the set's
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, drop, id_key, read, stored, without
+from .common import LOWER_BYTES, drop, id_key, read, small_batches, stored, without
 
 SIZE, PERCENT = 5, 80
 PARITY_WORDS = 16
 #: Block values for one task of the join, and class ids that may be broadcast (8 bytes each).
-BLOCKS_PER_TASK, BROADCAST_IDS = 1_500_000, 500_000
+BLOCKS_PER_TASK, BROADCAST_IDS = 1_000_000, 500_000
 #: Members of a group, and shingles of a nest, in one part of a tile.
-TILE, TILE_SHINGLES = 8192, 4_000_000
+TILE, TILE_SHINGLES = 8192, 2_000_000
 #: Word hashes kept by a Python worker.
-HASHES = 400_000
+HASHES = 100_000
 NO_ID = 9223372036854775807
 
 
@@ -94,9 +93,13 @@ def class_of(s) -> int:
 
 
 def parity(s):
+    """Parity bits, twice as many as shingles or more; a power of two, so that the halves of a sketch fold into a shorter one."""
     import numpy as np
 
-    bits = np.bincount((_mix(s + np.uint64(77)) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    width = PARITY_WORDS
+    while 32 * width < len(s):
+        width *= 2
+    bits = np.bincount((_mix(s + np.uint64(77)) % np.uint64(64 * width)).astype(np.int64), minlength=64 * width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -147,21 +150,34 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def short(bits):
+    """A sketch folded to the least width."""
+    import numpy as np
+
+    return np.bitwise_xor.reduce(bits.reshape(-1, PARITY_WORDS), axis=0)
+
+
 def measured(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, class, parity) of every row."""
+    """(doc_id, n_shingles, class, short, parity) of every row; parity only where it is wider than the short sketch."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-            ], ["doc_id", "n_shingles", "class", "parity"])
+            for at in range(0, batch.num_rows, 1024):
+                counts, classes, shorts, wides = [], [], [], []
+                for t in batch.column(1).slice(at, 1024):
+                    s = shingles(t.as_py(), size)
+                    bits = parity(s) if len(s) else None
+                    counts.append(len(s))
+                    classes.append(class_of(s) if len(s) else None)
+                    shorts.append(short(bits) if len(s) else None)
+                    wides.append(bits if len(s) and len(bits) > PARITY_WORDS else None)
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1024), *(pa.array(c, k) for c, k in zip((counts, classes, shorts, wides), kinds))], ["doc_id", "n_shingles", "class", "short", "parity"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class long, parity array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, class long, short array<long>, parity array<long>")
 
 
 def block_groups(docs: DataFrame, size: int, percent: int, tasks: int) -> DataFrame:
@@ -173,9 +189,9 @@ def block_groups(docs: DataFrame, size: int, percent: int, tasks: int) -> DataFr
 
         bands, seen = Bands(percent), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
+            for at in range(0, batch.num_rows, 1024):
                 keys, classes = [], []
-                for t in batch.column(0).slice(at, 2048):
+                for t in batch.column(0).slice(at, 1024):
                     s = shingles(t.as_py(), size)
                     c = class_of(s) if len(s) else None
                     if c is None or c in seen:  # copies within a task emit once
@@ -200,13 +216,23 @@ def block_groups(docs: DataFrame, size: int, percent: int, tasks: int) -> DataFr
         import numpy as np
         import pyarrow as pa
 
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for t, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                parts.setdefault(t, []).append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)))
-        for t in list(parts):
-            own = parts.pop(t)
+        def tasks_of():
+            """Entries of one task after another; rows come sorted by task."""
+            own, name = [], None
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    t, k, c = (batch.column(i)[row].as_py() for i in range(3))
+                    if own and t != name:
+                        yield own
+                        own = []
+                    name = t
+                    own.append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)))
+            if own:
+                yield own
+
+        for own in tasks_of():
             key, cls = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+            own.clear()
             order = np.lexsort((cls, key))
             key, cls = key[order], cls[order]
             keep = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
@@ -221,15 +247,18 @@ def block_groups(docs: DataFrame, size: int, percent: int, tasks: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(key[k].view(np.int64)), pa.array(hub[k]), pa.array(cls[k]), pa.array(members[k].astype(np.int64))], ["key", "hub", "class", "members"])
 
     blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "task long, keys binary, classes binary")
-    return blocks.repartition(tasks, "task").mapInArrow(meet, "key long, hub long, class long, members long")
+    return blocks.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(meet, "key long, hub long, class long, members long")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and parity bits allow the similarity."""
-    own = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b")
-    distance = reduce(lambda x, y: x + y, [F.bit_count(F.get("pa", F.lit(k)).bitwiseXOR(F.get("pb", F.lit(k)))) for k in range(PARITY_WORDS)])
-    return both.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (distance * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b", "na", "nb")
+    own = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"), F.coalesce("parity", "short").alias(f"p{x}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    # sizes this close have sketches of one width, or one of twice the other's
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.floor(F.size(x) / 2).cast("int")), lambda u, v: u.bitwiseXOR(v))
+    fit = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(F.col(x))
+    distance = F.aggregate(F.zip_with(fit("pa", "pb"), fit("pb", "pa"), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, n: t + n)
+    return both.filter(distance * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -327,36 +356,51 @@ class Tile:
 
         self.percent = percent
         cls, comp, n, part = (np.asarray(batch.column(batch.schema.get_field_index(x))) for x in ("class", "component", "n_shingles", "part"))
-        bits = np.asarray(batch.column(batch.schema.get_field_index("parity")).flatten()).reshape(-1, PARITY_WORDS).view(np.uint64)
+        column = batch.column(batch.schema.get_field_index("parity"))
+        flat, ends = np.asarray(column.flatten()).view(np.uint64), np.asarray(column.offsets)
+        ends = ends - ends[0]
         names, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         largest = which == int(np.argmax(sizes))
         self.order = np.lexsort((cls, largest))
-        self.cls, self.comp, self.n, self.part, self.bits = cls[self.order], which[self.order], n[self.order], part[self.order], bits[self.order]
+        self.cls, self.comp, self.n, self.part = cls[self.order], which[self.order], n[self.order], part[self.order]
         self.single, self.outside = int(part.min()) == int(part.max()), int((~largest).sum())
+        # sketches by width: (rows, bits), and the same folded to half the width
+        self.width = np.diff(ends)[self.order]
+        self.place, self.sketches = np.zeros(len(cls), np.int64), {}
+        for width in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == width)
+            bits = flat[ends[self.order[rows]][:, None] + np.arange(width)]
+            self.place[rows] = np.arange(len(rows))
+            self.sketches[width] = rows, bits, bits[:, : width // 2] ^ bits[:, width // 2 :]
 
     def near(self, i: int):
         """Later rows of other components whose sizes and parity bits allow the similarity with row i."""
         import numpy as np
 
-        rest = slice(i + 1, None)
-        n, own = self.n[rest], self.n[i]
-        far = np.bitwise_count(self.bits[i] ^ self.bits[rest]).sum(1, dtype=np.int64)
-        ok = (self.comp[rest] != self.comp[i]) & (np.minimum(n, own) * 100 >= np.maximum(n, own) * self.percent) & (far * (100 + self.percent) <= (n + own) * (100 - self.percent))
-        if not self.single:
-            ok &= self.part[rest] != self.part[i]
-        return np.flatnonzero(ok) + i + 1
+        found, own = [], self.n[i]
+        mine, width = self.place[i], int(self.width[i])
+        for other in (width // 2, width, width * 2):
+            if other not in self.sketches:
+                continue
+            rows, bits, folded = self.sketches[other]
+            first = int(np.searchsorted(rows, i + 1))
+            rest, n = rows[first:], self.n[rows[first:]]
+            ok = (self.comp[rest] != self.comp[i]) & (np.minimum(n, own) * 100 >= np.maximum(n, own) * self.percent)
+            if not self.single:
+                ok &= self.part[rest] != self.part[i]
+            if not ok.any():
+                continue
+            left = self.sketches[width][2 if other < width else 1][mine]
+            far = np.bitwise_count(left ^ (folded if other > width else bits)[first:][ok]).sum(1, dtype=np.int64)
+            found.append(rest[ok][far * (100 + self.percent) <= (n[ok] + own) * (100 - self.percent)])
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def _live(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes that have a near one in another component of a group, each with the least class it hangs together with.
+def _hang(rows: DataFrame, key: str, tiles: Column, percent: int) -> DataFrame:
+    """(a, b): classes that have a near one in another component under their key, each with the least class it hangs together with.
 
     At most one row for each member of a tile.
     """
-    many = groups.filter("members > 2")
-    rows = many.select("key", "class", "members").union(many.select("key", "hub", "members")).distinct()
-    rows = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    rows = rows.join(split, "key", "left_semi").join(classes.select("class", "n_shingles", "parity"), "class")
 
     def run(batches):
         import numpy as np
@@ -381,14 +425,37 @@ def _live(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int
                 a, b = zip(*new)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = _tiled(rows, "key", F.ceil(F.col("members") / TILE)).select("key", "low", "high", "class", "component", "n_shingles", "part", "parity")
+    dealt = _tiled(rows, key, tiles).select(key, "low", "high", "class", "component", "n_shingles", "part", "parity")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _live(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """`_hang` of the members of each group, by short sketches: a class comes once for each of its blocks."""
+    many = groups.filter("members > 2")
+    rows = many.select("key", "class", "members").union(many.select("key", "hub", "members")).distinct()
+    rows = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    rows = rows.join(split, "key", "left_semi").join(classes.select("class", "n_shingles", F.col("short").alias("parity")), "class")
+    return _hang(rows, "key", F.ceil(F.col("members") / TILE), percent)
+
+
+def _nests(live: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(nest, class, component, n_shingles, parity): classes that hang together, each once, with whole sketches."""
+    near = components(live).withColumnRenamed("component", "nest")
+    rows = near.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return rows.join(classes.select("class", "n_shingles", F.coalesce("parity", "short").alias("parity")), "class")
+
+
+def _nearer(live: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """`_hang` of the members of each nest, by whole sketches."""
+    rows = _nests(live, labels, classes)
+    heavy = rows.groupBy("nest").agg(F.count("*").alias("members"), F.sum(F.size("parity")).alias("words"))
+    return _hang(rows.join(heavy, "nest"), "nest", F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("words") / (TILE * PARITY_WORDS))), percent)
+
+
 def _across(docs: DataFrame, live: DataFrame, labels: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links that connect different components, by the whole sets of all near classes; a spanning forest of them."""
-    near = components(live).withColumnRenamed("component", "nest")
-    rows = near.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")).join(classes.select("class", "n_shingles", "parity"), "class")
+    rows = _nests(live, labels, classes)
     heavy = rows.groupBy("nest").agg(F.sum("n_shingles").alias("weight"))
     sets = _sets(docs, classes, live, size)
     rows = rows.join(heavy, "nest").join(sets.dropDuplicates(["class"]), "class")
@@ -423,9 +490,10 @@ def _across(docs: DataFrame, live: DataFrame, labels: DataFrame, classes: DataFr
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
+    docs = small_batches(docs)
     rows = stored(measured(docs, size), "shingled")
     found = rows.filter("n_shingles > 0")
-    classes = stored(found.groupBy("class").agg(F.min(id_key()).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity")), "classes")
+    classes = stored(found.groupBy("class").agg(F.min(id_key()).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("short").alias("short"), F.first("parity").alias("parity")), "classes")
     total = classes.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     # two bands, each with about (1-t)/(1+t) * 2 * 1.15 blocks for a shingle at the top of the band
     blocks = int(total * 2 * 2.3 * (100 - percent) / (100 + percent) * 100 / percent)
@@ -435,9 +503,11 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     labels = components(links)
     live = stored(_live(groups, labels, classes, percent), "near-classes")
     drop(groups)
-    if live.limit(1).count():
-        labels = components(links.union(_across(docs, live, labels, classes, size, percent)))
-    drop(live, links)
+    nearer = stored(_nearer(live, labels, classes, percent), "nearer-classes")
+    drop(live)
+    if nearer.limit(1).count():
+        labels = components(links.union(_across(docs, nearer, labels, classes, size, percent)))
+    drop(nearer, links)
     known = classes.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = known.groupBy("component").agg(F.min("first").alias("lowest"))
     known = known.filter("copies > 1 or component != class").select("class", "component").union(labels.join(classes.filter("copies = 1"), "class").filter("component = class").select("class", "component"))
