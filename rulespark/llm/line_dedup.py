@@ -75,7 +75,9 @@ def named_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Runs with the same number of lines and the same names are one LCP interval; `again` says that a run stands earlier in
     its own text.
     """
-    level = ranked(lines_of(docs, min_words), ["id"], "suffixes")
+    lines = stored(lines_of(docs, min_words), "lines")
+    level = ranked(lines, ["id"], "suffixes")
+    drop(lines)
     first, levels = level, [level]
     run = lambda start, lines: first.select("k1", "k2", start.cast("int").alias("start"), F.col(lines).alias("lines")).filter(F.col("lines").isNotNull())
     runs = stored(run(F.col("pos"), "ahead").union(run(F.col("pos") - F.col("back") + 1, "back")).distinct(), "runs")
