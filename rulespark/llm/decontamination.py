@@ -23,13 +23,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, read, stored, without
+from .common import ALNUM_BYTES, read, small_batches, stored, without
 
 WINDOW = 10
 #: Words of test items in a block and in a section, and distinct words of a section, at most (a longer item is one).
 BLOCK_WORDS, SECTION_WORDS, VOCABULARY = 1_000_000, 16_000_000, 500_000
 #: Documents and words in a segment, at most (a longer document is a segment); places looked up at once.
-SEGMENT_DOCS, SEGMENT_WORDS, PLACES = 2048, 1_500_000, 100_000
+SEGMENT_DOCS, SEGMENT_WORDS, PLACES = 2048, 500_000, 100_000
 INDEX = "segment long, rows binary, terms binary, counts binary, postings binary"
 MATCHES = "row_id long, start int, stop int, item_id string"
 
@@ -82,7 +82,7 @@ class Windows:
 
 def build_index(docs: DataFrame, ids: dict[bytes, int]) -> tuple[DataFrame, DataFrame]:
     """(segments, documents): postings by segment, and (row_id, doc_id, n_words) of every row; both stored."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     shared = spark.sparkContext.broadcast(ids)
 
     def run(batches):

@@ -28,7 +28,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import read, small_batches, stored
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|[^<]+|<", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][-\w:]*)")
@@ -365,7 +365,7 @@ def text_blocks(found: list[list], kinds: tuple[str, ...], links: bool) -> list[
 
 def texts(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    found = wrappers(pages)
+    found = wrappers(small_batches(pages))
     rule = "host string, how string, known array<struct<item:string,text:long>>"
 
     def judge(batches):

@@ -29,7 +29,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, read, stored
+from .common import LOWER_BYTES, read, small_batches, stored
 
 FOLDS, HELD_OUT = 7, 2
 #: Symbols (words, end, classes), vector length, words sent to the tasks.
@@ -343,7 +343,7 @@ def _frequent(vocabulary: DataFrame) -> DataFrame:
 
 def fit(training: DataFrame) -> tuple[Model, DataFrame, int, int]:
     """(model, vocabulary table, tokens, distinct words) of the training rows (doc_id, text)."""
-    vocabulary = stored(count_words(training.select("text")), "vocabulary")
+    vocabulary = stored(count_words(small_batches(training).select("text")), "vocabulary")
     size = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     common = [(bytes(r["word"]), r["n"]) for r in _frequent(vocabulary).orderBy(F.desc("n"), "word").limit(COMMON).collect()]
     heads = [w for w, _ in common if w != END][: SYMBOLS - CLASSES - 1]

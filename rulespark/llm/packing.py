@@ -24,11 +24,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 CAPACITY, MAX_SEGMENTS = 1024, 128
 #: Pieces that wait, and chunks whose ids are kept, in each task.
-WINDOW, CACHE = 512, 600_000
+WINDOW, CACHE = 512, 100_000
 END = 0
 SPACES = "\t-\r \x85\xa0  -     　"  # white space of the tokenizer's pattern
 CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
@@ -203,7 +203,7 @@ def pack(docs: DataFrame, paths: tuple[str, str] | None = None, capacity: int =
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if prompt:
         columns.append(F.col(prompt).cast("long").alias("prompt"))
-    return docs.select(*columns).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(*columns).mapInArrow(run, SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
