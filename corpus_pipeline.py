@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rulespark.llm import decontamination, jaccard_join, line_dedup, packing, quality_rules
-from rulespark.llm.common import read, stored
+from rulespark.llm.common import drop, read, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before is not None:  # what a stage has read is not needed once its output is written
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
