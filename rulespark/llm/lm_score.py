@@ -38,7 +38,7 @@ CLASSES, SYMBOLS, DIMENSIONS, COMMON = 256, 1024, 24, 100_000
 VECTORS, INNER = 32_768, 8
 #: Training: tokens in a step, noise words, first rate; the folds of the first round.
 BATCH, NOISE, RATE, FIRST_ROUND = 1024, 32, 0.05, (0, 1)
-INNER_BATCH, INNER_NOISE = 4096, 4
+INNER_BATCH, INNER_NOISE = 4096, 1
 #: The end of a text in the vocabulary; no word is empty.
 END = b""
 #: Averages taken together, and words counted together, in a task.
@@ -85,6 +85,24 @@ def class_column(word: Column) -> Column:
     return (F.crc32(F.substring(word, -3, 3)) % CLASSES).cast("int")
 
 
+class Numbers(dict):
+    """word -> number, with arrays by number: symbol, item (-1 for a word that is a symbol), count, log, share.
+
+    A word that has none gets that of its class, `others` and more."""
+
+    def __missing__(self, word: bytes) -> int:
+        return self.others + class_of(word)
+
+    def of(self, words: list[bytes]):
+        """Numbers of the words and of the end."""
+        import numpy as np
+
+        out = np.empty(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        out[-1] = self[END]
+        return out
+
+
 class Model:
     """Symbol tables and parameters; small enough to broadcast."""
 
@@ -129,15 +147,29 @@ class Model:
         self.p = np.zeros((len(shares), INNER), np.float32)
         self.d = np.log(self.share).astype(np.float32)
 
-    def lookup(self) -> dict[bytes, tuple[int, int, int]]:
-        """word -> (symbol, count, item or -1)"""
+    def lookup(self) -> Numbers:
+        """Numbers of words: of the common ones in order, then of the classes of all others."""
+        import numpy as np
+
+        numbers = Numbers((w, k) for k, (w, _) in enumerate(self.common))
+        numbers.setdefault(END, len(numbers))
+        numbers.others = n = len(numbers)
         heads = {w: k for k, w in enumerate(self.heads)}
-        out = {}
-        for w, n in self.common:
-            s = heads.get(w, -1)
-            out[w] = (s, n, -1) if s >= 0 else (SYMBOLS - CLASSES + class_of(w), n, self.items.get(w, int(self.first[class_of(w)])))
-        out.setdefault(END, (0, 0, -1))
-        return out
+        counts = dict(self.common)
+        numbers.symbol, numbers.item, numbers.count = np.zeros(n + CLASSES, np.int64), np.full(n + CLASSES, -1, np.int64), np.zeros(n + CLASSES)
+        for w, k in numbers.items():
+            c = class_of(w)
+            numbers.symbol[k], numbers.count[k] = heads.get(w, SYMBOLS - CLASSES + c), counts.get(w, 0)
+            if w not in heads:
+                numbers.item[k] = self.items.get(w, self.first[c])
+        numbers.symbol[n:], numbers.item[n:] = np.arange(SYMBOLS - CLASSES, SYMBOLS), self.first
+        numbers.log = np.log10(numbers.count + 1)
+        # what a word of a rare item adds: its share of the item, or of an unseen word the item's part alone
+        inside = numbers.item >= 0
+        classes = np.where(inside, numbers.symbol - (SYMBOLS - CLASSES), 0)
+        scarce = inside & (self.first[classes] == numbers.item)
+        numbers.share = np.where(scarce, numbers.log - np.log10(self.rare_sums)[classes], 0.0)
+        return numbers
 
     def parameters(self) -> list:
         return [self.r, self.q, self.c, self.b, self.t, self.p, self.d]
@@ -254,23 +286,6 @@ def _table(shared):
     return model, TABLES[model.name]
 
 
-def _symbols(words: list[bytes], known: dict, first) -> tuple[list[int], list[int]]:
-    """(symbols, items) of the words and the end; -1 where a symbol is a word."""
-    symbols, items = [], []
-    for w in words:
-        x = known.get(w)
-        if x is None:
-            c = class_of(w)
-            symbols.append(SYMBOLS - CLASSES + c)
-            items.append(int(first[c]))
-        else:
-            symbols.append(x[0])
-            items.append(x[2])
-    symbols.append(0)
-    items.append(-1)
-    return symbols, items
-
-
 def train_round(texts: DataFrame, model: Model, seed: int) -> None:
     """One pass over the texts; sets the model to the average of the tasks' parameters."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
@@ -284,14 +299,14 @@ def train_round(texts: DataFrame, model: Model, seed: int) -> None:
 
         given, known = _table(shared)
         own, tokens, part = copy.deepcopy(given), 0, TaskContext.get().partitionId()
-        first = own.first.tolist()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                seen = [_symbols(words_of(t.as_py()), known, first) for t in batch.column(0).slice(at, 512)]
-                flat = np.fromiter((x for s, _ in seen for x in (0, 0, *s)), np.int64)
-                items = np.fromiter((x for _, i in seen for x in (-1, -1, *i)), np.int64)
+                seen = [known.of(words_of(t.as_py())) for t in batch.column(0).slice(at, 512)]
+                marks = np.cumsum([0] + [len(x) + 2 for x in seen])[:-1]
+                pair = np.full(2, -1)
+                number = np.concatenate([y for x in seen for y in (pair, x)])
+                flat, items = np.where(number >= 0, known.symbol[number], 0), np.where(number >= 0, known.item[number], -1)
                 # two marks before each text, whose own places are no targets
-                marks = np.cumsum([0] + [len(s) + 2 for s, _ in seen])[:-1]
                 target = np.ones(len(flat), bool)
                 target[marks] = target[marks + 1] = False
                 places = np.flatnonzero(target)
@@ -371,29 +386,23 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, tokens: int, dis
         model, known = _table(shared)
         one, two = model.contexts()
         log_z, at, part = model.log_z, 0, TaskContext.get().partitionId() << 36
-        tail, first = SYMBOLS - CLASSES, model.first.tolist()
-        log_rare = np.log10(model.rare_sums)
+        tail = SYMBOLS - CLASSES
         types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
         for batch in batches:
             out = []
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(t.as_py())
-                symbols, items = _symbols(words, known, first)
-                symbols, item = np.array([0, 0, *symbols]), np.array(items)
+                number = known.of(words)
+                symbols, item = np.zeros(len(number) + 2, np.int64), known.item[number]
+                symbols[2:] = known.symbol[number]
                 h2, h1, w = symbols[:-2], symbols[1:-1], symbols[2:]
                 total = float((one[h1, w] + two[h2, w] - log_z[h1, h2]).astype(np.float64).sum()) / ten
                 inside = np.flatnonzero(item >= 0)
                 own, last, classes = item[inside], h1[inside], w[inside] - tail
                 total += float(((model.t[last] * model.p[own]).sum(1) + model.d[own] - model.log_y[last, classes]).astype(np.float64).sum()) / ten
-                found = [known[x] for x in words if x in known] + [known[END]]
-                counts = np.array([x[1] for x in found], float)
-                logs = np.log10(counts + 1)
-                # of the rare item, a word has its share
-                shared_item = np.array([x[2] >= 0 and model.first[x[0] - tail] == x[2] for x in found])
-                scarce = classes[own == model.first[classes]]
-                total += float(logs[shared_item].sum() - log_rare[scarce].sum())
-                rare = Counter(x for x in words if x not in known)
-                out.append((part + at, doc_id, len(words) + 1, int((counts > 0).sum()), float(logs.sum()), total, [{"word": x, "n": n} for x, n in rare.items()]))
+                total += float(known.share[number].sum())
+                rare = Counter(words[k] for k in np.flatnonzero(number >= known.others).tolist())
+                out.append((part + at, doc_id, len(number), int((known.count[number] > 0).sum()), float(known.log[number].sum()), total, [{"word": x, "n": n} for x, n in rare.items()]))
                 at += 1
             columns = list(zip(*out)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["row_id", "doc_id", "n_tokens", "n_known", "base", "score", "rare"])

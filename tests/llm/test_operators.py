@@ -490,7 +490,8 @@ def test_inner_items_are_normalised(spark):
             inside = model.item_class == c
             assert np.exp(scores[inside] - model.log_y[h, c]).sum() == pytest.approx(1, abs=1e-4)
     lookup = model.lookup()
-    assert lookup[b"w0"][2] == -1 and model.item_class[lookup[b"w899"][2]] == lm_score.class_of(b"w899")
+    assert lookup.item[lookup[b"w0"]] == -1 and model.item_class[lookup.item[lookup[b"w899"]]] == lm_score.class_of(b"w899")
+    assert lookup[b"unseen"] == lookup.others + lm_score.class_of(b"unseen")
 
 
 def test_html_article_names(spark):
