@@ -34,8 +34,9 @@ class Binding:
         names, rest = [], list(path)
         while rest and isinstance(rest[0], str):
             names.append(rest.pop(0))
-        seconds = names[-1:] == ["seconds"] and ".".join(names) not in self.fields
-        key = ".".join(names[:-1] if seconds else names)
+        # parts of a time: whole seconds since the epoch, rounded down, and the nanoseconds after them
+        part = names[-1] if names[-1:] in (["seconds"], ["nanos"]) and ".".join(names) not in self.fields else None
+        key = ".".join(names[:-1] if part else names)
         if rest and f"{key}[]" in self.fields:
             out = self.fields[f"{key}[]"](rest.pop(0)[1])
         elif key in self.fields:
@@ -45,7 +46,9 @@ class Binding:
             raise RuleError(f"no column for the field {key}")
         for kind, x in rest:
             out = out[x] if kind == "key" else F.get(out, F.lit(x))
-        return F.unix_seconds(out.cast("timestamp")) if seconds else out
+        if part == "seconds":
+            return F.unix_seconds(out.cast("timestamp"))
+        return F.pmod(F.unix_micros(out.cast("timestamp")), F.lit(1_000_000)) * 1000 if part else out
 
 
 def security_events(events: DataFrame, lists: dict[str, DataFrame] | None = None) -> Binding:
