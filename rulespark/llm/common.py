@@ -39,7 +39,7 @@ def words_by_space(text: Column) -> Column:
 
 
 #: Bytes of an Arrow batch on its way to Python: two tasks of an executor hold several at once, on both sides.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -50,6 +50,42 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What operators keep in a Python worker from one task to the next, by operator; their modules enter it here.
+KEPT: dict[str, dict] = {}
+
+
+def others_go(operator: str) -> None:
+    """Clear what the other operators kept in this worker."""
+    for name, kept in KEPT.items():
+        if name != operator:
+            kept.clear()
+
+
+def give_back() -> None:
+    """Return free memory of this worker to the system: Arrow's pool and the C library hold on to their peaks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def lean(run, operator: str):
+    """`run` for mapInArrow, by a worker that serves stage after stage: it holds what the operator of its task needs."""
+
+    def task(batches):
+        others_go(operator)
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """The name, with underscores until no column has it."""
     while name.lower() in {c.lower() for c in docs.columns}:

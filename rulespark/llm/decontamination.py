@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, read, small_batches, stored, without
+from .common import ALNUM_BYTES, lean, read, small_batches, stored, without
 
 WINDOW = 10
 #: Words of test items in a block and in a section, and distinct words of a section, at most (a longer item is one).
@@ -122,7 +122,7 @@ def build_index(docs: DataFrame, ids: dict[bytes, int]) -> tuple[DataFrame, Data
         if lengths:
             yield segment()
 
-    index = stored(numbered(docs).mapInArrow(run, INDEX + ", doc_ids array<long>, lengths array<int>"), "postings")
+    index = stored(numbered(docs).mapInArrow(lean(run, "decontamination"), INDEX + ", doc_ids array<long>, lengths array<int>"), "postings")
     rows = index.select("segment", F.posexplode_outer(F.arrays_zip("doc_ids", "lengths")).alias("at", "d"))
     return index, rows.select((F.col("segment") + F.col("at")).alias("row_id"), F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").cast("long").alias("n_words"))
 
@@ -142,7 +142,7 @@ def frequencies(index: DataFrame, terms: int):
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
     out = np.zeros(terms, np.int64)
-    for row in index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in index.select("terms", "counts").mapInArrow(lean(count, "decontamination"), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[row["term"]] = row["n"]
     return out
 
@@ -201,7 +201,7 @@ def search(index: DataFrame, windows: Windows, often) -> DataFrame:
                                     column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["row_id", "start", "stop", "item_id"])
 
-    return index.select("segment", "rows", "terms", "counts", "postings").mapInArrow(run, MATCHES)
+    return index.select("segment", "rows", "terms", "counts", "postings").mapInArrow(lean(run, "decontamination"), MATCHES)
 
 
 def proximity(docs: DataFrame, phrase: str, span: int) -> DataFrame:
@@ -231,7 +231,7 @@ def proximity(docs: DataFrame, phrase: str, span: int) -> DataFrame:
                     at, doc, last = at[keep], doc[keep], last[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(segment + doc, pa.int64()), pa.array(at - starts[doc], pa.int64())], ["row_id", "start"])
 
-    hits = index.select("segment", "rows", "terms", "counts", "postings").mapInArrow(run, "row_id long, start long")
+    hits = index.select("segment", "rows", "terms", "counts", "postings").mapInArrow(lean(run, "decontamination"), "row_id long, start long")
     return hits.join(rows, "row_id").select("doc_id", "start")
 
 

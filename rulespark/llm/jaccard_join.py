@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, drop, id_key, read, small_batches, stored, without
+from .common import KEPT, LOWER_BYTES, drop, id_key, lean, read, small_batches, stored, without
 
 SIZE, PERCENT = 5, 80
 PARITY_WORDS = 16
@@ -64,7 +64,7 @@ class Hashes(dict):
         return out
 
 
-WORDS = Hashes()
+WORDS = KEPT["jaccard_join"] = Hashes()
 
 
 def shingles(text: str | None, size: int):
@@ -177,7 +177,7 @@ def measured(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1024), *(pa.array(c, k) for c, k in zip((counts, classes, shorts, wides), kinds))], ["doc_id", "n_shingles", "class", "short", "parity"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class long, short array<long>, parity array<long>")
+    return rows.mapInArrow(lean(run, "jaccard_join"), "doc_id long, n_shingles long, class long, short array<long>, parity array<long>")
 
 
 def block_groups(docs: DataFrame, size: int, percent: int, tasks: int) -> DataFrame:
@@ -246,8 +246,8 @@ def block_groups(docs: DataFrame, size: int, percent: int, tasks: int) -> DataFr
                 k = np.flatnonzero(rest)[a : a + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(key[k].view(np.int64)), pa.array(hub[k]), pa.array(cls[k]), pa.array(members[k].astype(np.int64))], ["key", "hub", "class", "members"])
 
-    blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "task long, keys binary, classes binary")
-    return blocks.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(meet, "key long, hub long, class long, members long")
+    blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(emit, "jaccard_join"), "task long, keys binary, classes binary")
+    return blocks.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(lean(meet, "jaccard_join"), "key long, hub long, class long, members long")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -278,7 +278,7 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "shingles"])
 
     texts = docs.select(id_key().alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = stored(texts.select("text").mapInArrow(run, "class long, shingles array<long>"), "shingle-sets")
+    sets = stored(texts.select("text").mapInArrow(lean(run, "jaccard_join"), "class long, shingles array<long>"), "shingle-sets")
     drop(ids)
     return sets
 
@@ -426,7 +426,7 @@ def _hang(rows: DataFrame, key: str, tiles: Column, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = _tiled(rows, key, tiles).select(key, "low", "high", "class", "component", "n_shingles", "part", "parity")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run, "jaccard_join"), "a long, b long").distinct()
 
 
 def _live(groups: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -483,7 +483,7 @@ def _across(docs: DataFrame, live: DataFrame, labels: DataFrame, classes: DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = _tiled(rows, "nest", F.ceil(F.col("weight") / TILE_SHINGLES)).select("nest", "low", "high", "class", "component", "n_shingles", "part", "parity", "shingles")
-    links = stored(dealt.mapInArrow(run, "a long, b long"), "links")
+    links = stored(dealt.mapInArrow(lean(run, "jaccard_join"), "a long, b long"), "links")
     drop(sets)
     return links
 

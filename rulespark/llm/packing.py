@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import KEPT, give_back, lean, read, small_batches
 
 CAPACITY, MAX_SEGMENTS = 1024, 128
 #: Pieces that wait, and chunks whose ids are kept, in each task.
@@ -44,6 +44,7 @@ def tokenizer_path() -> tuple[str, str]:
 
 #: Encoders of this Python worker; tasks that follow one another share the cached chunks.
 ENCODERS: dict = {}
+KEPT["packing"] = ENCODERS
 
 
 class Encoder:
@@ -68,12 +69,18 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.gap = max(ranks.values()) + 1
         self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={self.SEPARATOR: self.gap})
-        self.tokenizer, self.known = Tokenizer.from_file(paths[0]), {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + [self.SEPARATOR]
+        self.path, self.tokenizer, self.known = paths[0], None, {}
+        self.special = [t.content for t in Tokenizer.from_file(paths[0]).get_added_tokens_decoder().values()] + [self.SEPARATOR]
+        del ranks
+        give_back()
 
     def _direct(self, text: str) -> bytes:
         import numpy as np
 
+        if self.tokenizer is None:  # few texts need it
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
@@ -203,7 +210,7 @@ def pack(docs: DataFrame, paths: tuple[str, str] | None = None, capacity: int =
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if prompt:
         columns.append(F.col(prompt).cast("long").alias("prompt"))
-    return small_batches(docs).select(*columns).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(*columns).mapInArrow(lean(run, "packing"), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
